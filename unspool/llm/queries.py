@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unspool.llm import decontaminate, html_text, language, quality, toxicity
+from unspool.llm import decontaminate, fingerprint, html_text, language, mixing, pii, quality, toxicity, url_rules
 from unspool.llm.common import held_out, table
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -30,6 +38,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.indexes(table(spark, sf_dir, "benchmark"))
     hits = table(spark, sf_dir, "documents").select("doc_id", decontaminate.find(found, F.col("text")).alias("hits"))
@@ -41,6 +57,6 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_language, op6_quality, op9_decontaminate, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_mix, op3_toxicity, op4_language, op6_quality, op7_pii, op8_url_rules, op9_decontaminate, op10_html)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,8 +1,72 @@
-"""The corpus pipeline: stages that each read what the stage before has kept."""
+"""The corpus pipeline: documents to a training mix, in stages that each work on what the one before kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from unspool.llm import decontaminate, jaccard, mixing, pii, quality
+from unspool.llm.common import materialize, table
+
+#: A document whose quality score is less is rejected.
+QUALITY_FLOOR = 0.7
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quadratic discriminant scores at QUALITY_FLOOR or more."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality.score(model, F.col("text")) >= QUALITY_FLOOR)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that the Jaccard join links, the document with the smallest id; of rows that repeat a document, one.
+
+    A row without id links with nothing and stays.
+    """
+    joined = materialize(jaccard.join(docs), "joined")
+    gone = joined.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = joined.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    first = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang"))
+    kept = kept.withColumn("__first", F.when(F.col("doc_id").isNull(), 1).otherwise(first))
+    return kept.where("__first = 1").select(docs.columns)
+
+
+def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    found = decontaminate.indexes(table(spark, sf_dir, "benchmark"))
+    return docs.where(F.size(decontaminate.find(found, F.col("text"))) == 0)
+
+
+def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and secrets replaced and n_chars counted anew."""
+    new = pii.pseudonymize(docs)
+    return new.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document, and its training positions."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("jaccard", keep_one_of_each),
+    ("decontaminate", drop_test_items),
+    ("pii", replace_personal),
+    ("mix", mix_sources),
+]
+
+#: No SQL: the first stage is a learned model.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of what all stages keep of documents; each stage's result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

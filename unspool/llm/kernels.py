@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one step works on; a longer text is worked on alone and whole.
 STEP_BYTES = 1 << 20
+STEP_ROWS = 4096
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,7 +44,7 @@ def steps(offs: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]
     """Ranges of rows with about `limit` bytes of text each, one row at least."""
     at, n = 0, len(offs) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
+        to = min(max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1), at + STEP_ROWS)
         yield at, to
         at = to
 

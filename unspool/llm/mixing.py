@@ -46,8 +46,8 @@ def invert(share: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     for (t0, h0), (t1, h1) in zip(knots, knots[1:], strict=False):
         area = (t1 - t0) * (h0 + h1) / 2
         need = F.greatest(share * total - F.lit(done), F.lit(0.0))
-        slope = (h1 - h0) / (t1 - t0)
-        at = F.lit(t0) + (2 * need / (F.lit(h0) + F.sqrt(F.greatest(F.lit(h0 * h0) + 2 * slope * need, F.lit(0.0)))) if area else F.lit(0.0))
+        twice_slope = 2 * (h1 - h0) / (t1 - t0)
+        at = F.lit(t0) + (2 * need / (F.lit(h0) + F.sqrt(F.greatest(F.lit(h0 * h0) + twice_slope * need, F.lit(0.0)))) if area else F.lit(0.0))
         at = F.least(at, F.lit(t1))
         out = F.when(share * total <= done + area, at) if out is None else out.when(share * total <= done + area, at)
         done += area

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unspool.llm import decontaminate, fingerprint, html_text, language, mixing, pii, quality, toxicity, url_rules
+from unspool.llm import decontaminate, fingerprint, html_text, jaccard, language, mixing, pii, quality, toxicity, url_rules
 from unspool.llm.common import held_out, table
 
 
@@ -14,7 +14,7 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("positions")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -57,6 +61,65 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_mix, op3_toxicity, op4_language, op6_quality, op7_pii, op8_url_rules, op9_decontaminate, op10_html)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_mix, op3_toxicity, op4_language, op5_jaccard, op6_quality, op7_pii, op8_url_rules, op9_decontaminate, op10_html)}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = "[^\\x20\\x09-\\x0D]+"
+
+
+
+def _time_sql(share: str, knots: tuple[tuple[float, float], ...]) -> str:
+    """The time at which a schedule's area reaches `share` of the whole, in SQL."""
+    total, done, cases = mixing.integrate(knots), 0.0, []
+    for (t0, h0), (t1, h1) in zip(knots, knots[1:], strict=False):
+        need = f"greatest({share} * {total}::double - {done}::double, 0::double)"
+        at = f"{t0}::double + 2 * {need} / ({h0}::double + sqrt(greatest({h0 * h0}::double + {2 * (h1 - h0) / (t1 - t0)}::double * {need}, 0::double)))"
+        done += (t1 - t0) * (h0 + h1) / 2
+        cases.append(f"when {share} * {total}::double <= {done}::double then least({at}, {t1}::double)")
+    return f"case {' '.join(cases)} else {knots[-1][0]}::double end"
+
+
+_MIX_SQL = f"""
+with recursive sized as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size, md5(doc_id::varchar) as key from documents),
+by_source as (
+    select source, sum(size)::bigint as source_size, (row_number() over (order by source is null, source collate "C") - 1)::int as rank from sized group by source),
+weighed as (
+    select *, [3.0::double, 1.0::double, 2.0::double][rank % 3 + 1] as weight, source_size * 2.0::double as most from by_source),
+leveled as (
+    select *, (sum(source_size) over () * 1.5::double - coalesce(sum(most) over before, 0)) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
+    from weighed window before as (order by most / weight, rank rows between unbounded preceding and 1 preceding)),
+goal as (
+    select *, coalesce(least(most, weight * (select level from leveled where weight * level < most order by most / weight, rank limit 1)), most) as target from leveled),
+placed as (
+    select doc_id, size, source_size, target, coalesce(sum(size) over (partition by rank order by key, size desc, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as begin_, rank
+    from sized join goal on sized.source is not distinct from goal.source),
+rounds as (
+    select *, case when source_size > 0 then round(target)::bigint // source_size else 0 end as whole from placed),
+ended as (
+    select *, least(greatest(round(target)::bigint - whole * source_size - begin_, 0), size)::bigint as last_ from rounds),
+shared as (
+    select *, (whole * size + last_)::bigint as taken, case when target > 0 then least((begin_ + (case when whole > 0 then size else last_ end) / 2) / target, 1::double) else 1::double end as part from ended)
+select doc_id, size, source_size, target, taken,
+    case when taken = 0 then 1::double {" ".join(f"when rank % {len(mixing.SHAPES)} = {k} then {_time_sql('part', knots)}" for k, knots in enumerate(mixing.SHAPES))} end as position
+from shared
+"""
+
+_JACCARD_SQL = f"""
+with recursive split_ as (select doc_id, regexp_extract_all({_LOWER}, '{_WORD}') as w from documents),
+grams as (
+    select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+        when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from split_),
+sized as (select doc_id, count(*) as n from grams group by doc_id),
+shared as (select g from grams group by g having count(*) > 1),
+held as (select doc_id, g from grams semi join shared using (g)),
+both_ as (select a.doc_id as a, b.doc_id as b, count(*) as k from held a join held b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (select a, b from both_ join sized x on x.doc_id = a join sized y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+reach as (select doc_id as node, doc_id as other from documents union select node, b from reach join links on a = other)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, coalesce(n_links, 0)::bigint as n_links
+from documents d left join sized using (doc_id)
+join (select node as doc_id, min(other) as component_id from reach group by node) using (doc_id)
+left join (select a as doc_id, count(*) as n_links from links group by a) using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix": _MIX_SQL, "op5_jaccard": _JACCARD_SQL}

@@ -276,7 +276,7 @@ def _block_script(doc_id: int, text: str) -> bytes:
 
 @query("""with p as (select doc_id, doc_id % 6 as depth, string_split(coalesce(text, ''), chr(10)) as lines from documents),
 l as (select doc_id, 0 as part, k, repeat(chr(9), k::int) || 'While $x < ' || k as line from p, lateral (select unnest(range(0, depth)) as k)
-    union all select doc_id, 1, k, repeat(chr(9), depth::int) || 'MsgBox(' || doc_id || ', "say """' || array_to_string(list_transform(list_filter(string_split(lines[k], ' '), lambda w: w <> ''), lambda w: ' ' || w), '') || ')' from p, lateral (select unnest(range(1, len(lines) + 1)) as k)
+    union all select doc_id, 1, k, repeat(chr(9), depth::int) || 'MsgBox(' || doc_id || ', "say ' || repeat('"', 3) || array_to_string(list_transform(list_filter(string_split(lines[k], ' '), lambda w: w <> ''), lambda w: ' ' || w), '') || ')' from p, lateral (select unnest(range(1, len(lines) + 1)) as k)
     union all select doc_id, 2, k, repeat(chr(9), (depth - 1 - k)::int) || 'WEnd' from p, lateral (select unnest(range(0, depth)) as k))
 select doc_id, string_agg(line || chr(13) || chr(10), '' order by part, k) as source, count(*)::bigint as line_count from l group by doc_id""")
 def rendered_source(spark: SparkSession, sf_dir: str) -> DataFrame:

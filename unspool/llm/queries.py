@@ -108,7 +108,7 @@ from shared
 _JACCARD_SQL = f"""
 with recursive split_ as (select doc_id, regexp_extract_all({_LOWER}, '{_WORD}') as w from documents),
 grams as (
-    select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+    select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
         when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from split_),
 sized as (select doc_id, count(*) as n from grams group by doc_id),
 shared as (select g from grams group by g having count(*) > 1),

@@ -187,7 +187,8 @@ def artifacts_by_join(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def file_time(value: Column) -> Column:
     """100 ns ticks since 1601 as a timestamp; null beyond the range of BIGINT."""
-    return F.timestamp_micros(F.floor((F.expr("try_cast(0 as bigint)") + value.try_cast("bigint") - F.lit(116444736000000000)) / 10).cast("bigint"))
+    micros = F.floor((value - F.lit(116444736000000000)) / 10).cast("bigint")
+    return F.when(value.try_cast("bigint").isNotNull(), F.timestamp_micros(micros))
 
 
 def decode_tokens(found: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ _NAME = "\\p{Lu}\\p{L}+(?:['-]\\p{Lu}\\p{L}+)?"
 PATTERNS = (
     ("secret", "\\b(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth[_-]?token)\\b[\"']?\\s{0,4}[:=]\\s{0,4}[\"']?(?=[^\\s\"'<>,;]*\\d)[^\\s\"'<>,;]{6,}"),
     ("access_key", "\\b(?:AKIA|ASIA)[0-9A-Z]{16}\\b"),
-    ("email", "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)+"),
+    ("email", "(?<![._%+-])[\\p{L}\\p{N}._%+-]++@[\\p{L}\\p{N}-]++(?:\\.[\\p{L}\\p{N}-]++)+"),
     ("iban", "\\b[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\\b"),
     ("ip", f"(?<![\\w.])(?:{_OCTET}\\.){{3}}{_OCTET}(?![\\w]|\\.\\d)"),
     ("phone", "(?<![\\w+])(?:\\+\\d{1,3}[ .-]?)?\\(\\d{2,4}\\)[ .-]?\\d{3,4}[ .-]?\\d{3,4}(?!\\d)|(?<![\\w+])\\+\\d{1,3}(?:[ .-]?\\d{2,4}){2,4}(?!\\d)|(?<![\\w.+-])\\d{3}[.-]\\d{3}[.-]\\d{4}(?![\\w-])"),
@@ -43,7 +43,8 @@ PATTERNS = (
     ("female", f"\\b(?:{_FEMALE})\\.? {_NAME}(?: {_NAME})?"),
     ("male", f"\\b(?:{_MALE})\\.? {_NAME}(?: {_NAME})?"),
 )
-ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: An entity begins where no letter, digit or underscore stands before.
+ANY = "(?<![\\p{L}\\p{N}_])(?:" + "|".join(f"(?:{p})" for _, p in PATTERNS) + ")"
 _TITLE = f"^(?:{_FEMALE}|{_MALE})\\.? "
 #: What a secret's mention has before its value.
 _BEFORE_VALUE = "^[A-Za-z_-]+[\"']?\\s{0,4}[:=]\\s{0,4}[\"']?"
@@ -108,7 +109,7 @@ def _shape(text: Column, stream: Column, digits: str = "0123456789", lower: str
 
     def one(c: Column, i: Column) -> Column:
         pick = lambda alphabet: F.substring(F.lit(alphabet), _number(stream, i, len(alphabet)) + 1, F.lit(1))
-        return F.when(c.rlike("^[0-9]$"), pick(digits)).when(c.rlike("^[a-z]$"), pick(lower)).when(c.rlike("^[A-Z]$"), pick(upper)).otherwise(c)
+        return F.when(c.rlike("^[0-9]$"), pick(digits)).when(c.rlike("^\\p{Ll}$"), pick(lower)).when(c.rlike("^\\p{Lu}$"), pick(upper)).otherwise(c)
 
     return F.array_join(F.transform(chars, one), "")
 

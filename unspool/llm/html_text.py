@@ -2,8 +2,8 @@
 
 Every text block has a path of tags from the root. Over a page, the length of text and the number
 of punctuation marks are added up per path and divided by the path's blocks; the two ratios are
-smoothed over the page's order, fused by a product, and a path whose blocks score under a threshold
-is no content. The content region is the innermost container that holds nearly all of the fused
+smoothed over the page's order and fused by a product; a path whose blocks' mean is under a
+threshold is no content. The content region is the innermost container that holds nearly all of the fused
 weight; where that is an article (or main) element the whole of it is kept, elsewhere only the
 blocks of content paths and the headings before them. Menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments are cut by their markup before ratios are taken.
@@ -23,7 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: Elements whose content is never text of the page.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "math", "canvas", "video", "audio"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
@@ -31,7 +31,8 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "
 _CUT = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "input", "label", "fieldset"}
 _CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 #: Parts of class and id names that mark what is not the article.
-_CUT_NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notices?|notification\w*|alert|newsletter|subscribe|signup|login|sidebar|side|widget\w*|menu\w*|nav\w*|breadcrumbs?|pagination|pager|footer|footnav|masthead|topbar|header|comments?|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommend\w*|popup|modal|overlay|toolbar|skip\w*|search\w*|tags|byline-share|copyright|legal|disclaimer|feedback)(?=$|[-_ ])", re.I)
+_CUT_NAMES = re.compile(r"(?:^|[-_ ])(ads?|adsbygoogle|ad(?:box|slot|unit|wrap\w*)|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notices?|notification\w*|alert|newsletter|subscribe|signup|login|sidebar|side|widget\w*|menu\w*|nav\w*|breadcrumbs?|pagination|pager|footer|footnav|masthead|topbar|header|comments?|commentlist|responses|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommend\w*|popup|modal|overlay|toolbar|skip\w*|search\w*|tags|byline-share|copyright|legal|disclaimer|feedback)(?=$|[-_ ])", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _MARKS = re.compile(r"[.,;:!?]")
 #: Who closes whom when it opens: an open element of the kinds given, up to the limits given.
@@ -56,8 +57,12 @@ def _is_cut(tag: str, attrs: str, in_region: bool) -> bool:
         return False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and _CUT_NAMES.search(value):
-            return True
+        value = _CAMEL.sub("-", value)
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            # Within an article a header is its own: it holds the title.
+            names = _CUT_NAMES.findall(value)
+            if names and not (in_region and all(n.lower() in ("header", "masthead") for n in names)):
+                return True
         if name in ("class", "id") and tag == "article" and re.search(r"(?:^|[-_ ])(?:comments?|reply|ads?|related|promo)(?=$|[-_ ])", value, re.I):
             return True
         if name == "role" and value.lower() in _CUT_ROLES:
@@ -150,7 +155,10 @@ def _fused(found: list[tuple[str, _Node, int]]) -> np.ndarray:
     weights = np.exp(-0.5 * np.arange(-2, 3) ** 2.0)
     weights /= weights.sum()
     smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), weights, "valid")
-    return smooth(length) * (1 + smooth(marks)) * (length > 0)
+    fused = smooth(length) * (1 + smooth(marks)) * (length > 0)
+    # A path has the mean of its blocks, so that its blocks stay or go together.
+    _, of = np.unique([n.path for _, n, _ in found], return_inverse=True)
+    return (np.bincount(of, fused) / np.bincount(of))[of]
 
 
 def main_text(page: str | None, floor: float = 0.15, held: float = 0.6) -> str:

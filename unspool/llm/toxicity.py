@@ -26,7 +26,8 @@ from unspool.llm.common import fit_sample, held_out
 BITS = 20
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_SALT = (np.uint64(0x51), np.uint64(0x52), np.uint64(0x53))
+#: Lengths in code points of the beginnings of a word that are terms; 0 is the whole word.
+PREFIXES = (0, 4, 5)
 
 
 def terms(col: pa.Array, bits: int = BITS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -34,7 +35,7 @@ def terms(col: pa.Array, bits: int = BITS) -> Iterator[tuple[int, np.ndarray, np
     data, offs = K.buffer_of(col)
     for a, b in K.steps(offs):
         part = K.lower_latin(data[offs[a] : offs[b]])
-        row, h = K.letter_terms(part, offs[a : b + 1] - offs[a], _NOT_LETTER, (0, 4, 5), _SALT)
+        row, h = K.letter_terms(part, offs[a : b + 1] - offs[a], _NOT_LETTER, PREFIXES, tuple(np.uint64(0x51 + k) for k in PREFIXES))
         key = np.unique((row.astype(np.uint64) << np.uint64(bits)) | (h >> np.uint64(64 - bits)))
         yield a, (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,9 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="unspool-")
+        atexit.register(shutil.rmtree, _own_dirs[app], True)
     return _own_dirs[app]
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; results that still read it must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and return a reader of it: lineage ends here and survives lost executors."""
     spark = df.sparkSession

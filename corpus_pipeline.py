@@ -26,7 +26,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     joined = materialize(jaccard.join(docs), "joined")
     gone = joined.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    # What goes grows with the corpus, so it is never broadcast: the join is the same at every size.
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     repeated = joined.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
         return kept.select(docs.columns)

@@ -43,7 +43,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lower the session's Arrow batches to `most` bytes if they are larger: rows are whole texts, and a worker holds a batch and its kernel's arrays at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(name) or "").rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(name, f"{most}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,7 +69,7 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def fit_sample(rows: DataFrame, doc_id: str, limit: int, strata: Column | None = None) -> DataFrame:
+def fit_sample(rows: DataFrame, doc_id: str, limit: int) -> DataFrame:
     """At most `limit` rows in an order that depends only on the ids: the same rows on every run and cluster."""
     order = [F.xxhash64(F.lit(20), F.col(doc_id)), F.col(doc_id)]
     return rows.orderBy(*order).limit(limit)

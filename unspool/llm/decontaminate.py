@@ -118,7 +118,7 @@ def search(index: Index, col: pa.Array) -> list[dict[int, float]]:
     data, offs = K.buffer_of(col)
     out: list[dict[int, float]] = [{} for _ in range(len(offs) - 1)]
     if index.items:
-        for a, b in K.steps(offs):
+        for a, b in K.steps(offs, 2 * K.STEP_BYTES):
             _search(index, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], out[a:b])
     return out
 

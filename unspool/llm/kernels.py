@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one step works on; a longer text is worked on alone and whole.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 STEP_ROWS = 4096
 
 _IS_SPACE = np.zeros(256, bool)

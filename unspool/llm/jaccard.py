@@ -30,19 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unspool.llm import kernels as K
-from unspool.llm.common import materialize, shuffle_partitions
+from unspool.llm.common import materialize, shuffle_partitions, small_batches
 from unspool.llm.graph import components
 
 WIDTH = 5
 SHARE = (75, 100)
 #: Entries and rows of the incidence that a task holds before it deals them out.
-FLUSH_ENTRIES, FLUSH_ROWS = 1 << 21, 60_000
+FLUSH_ENTRIES, FLUSH_ROWS = 1 << 20, 60_000
 #: Rows of a block of the product, and columns that are multiplied at once.
 BLOCK_ROWS, BLOCK_COLUMNS = 512, 4096
 _KEY = np.uint64((1 << 48) - 1)
 _DEALT = pa.schema([("block", pa.int64()), ("batch", pa.int64()), ("blob", pa.binary())])
 _MANIFEST = np.dtype([("doc_id", "<i8"), ("n", "<i8"), ("d1", "<i8"), ("d2", "<i8"), ("first", "?")])
-_SHARED = np.dtype([("row", "<u2"), ("docs", "<u2"), ("low", "<u4"), ("high", "<u2")])
 
 
 def digest(own: np.ndarray) -> tuple[int, int]:
@@ -57,6 +56,21 @@ def prefix_length(n: int, share: tuple[int, int] = SHARE) -> int:
     return n - -(-n * share[0] // share[1]) + 1 if n else 0
 
 
+def _steps(rows: np.ndarray) -> bytes:
+    """Ascending numbers as the low bytes, then the high bytes, of their differences."""
+    return _bytes(np.diff(rows, prepend=np.uint16(0)))
+
+
+def _bytes(numbers: np.ndarray) -> bytes:
+    """16-bit numbers as their low bytes, then their high bytes."""
+    return (numbers & 255).astype(np.uint8).tobytes() + (numbers >> 8).astype(np.uint8).tobytes()
+
+
+def _rows(blob: bytes, n: int, at: int) -> np.ndarray:
+    low, high = np.frombuffer(blob, np.uint8, n, at), np.frombuffer(blob, np.uint8, n, at + n)
+    return np.cumsum(low.astype(np.uint16) + (high.astype(np.uint16) << np.uint16(8)), dtype=np.uint16)
+
+
 def _deal(blocks: int):
     """Rows (doc_id, text) to the entries of each column block, and a manifest of the rows of each batch."""
 
@@ -70,13 +84,14 @@ def _deal(blocks: int):
         use = [i for i in range(len(ids)) if manifest["first"][i]]
         h = np.concatenate([sets[i] for i in use]) if use else np.zeros(0, np.uint64)
         row = np.repeat(np.array(use, np.uint16), [len(sets[i]) for i in use])
-        order = np.argsort(h)
-        h, row = h[order], row[order]
-        block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-        cut = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
+        block = (((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.uint32)
+        # Stable: within a block the rows ascend, and steps between them are small numbers that compress.
+        order = np.argsort(block, kind="stable")
+        h, row, block = h[order], row[order], block[order]
+        cut = np.searchsorted(block, np.arange(blocks + 1))
         keys = np.ascontiguousarray((h & _KEY).view(np.uint8).reshape(-1, 8)[:, :6])
         filled = np.flatnonzero(cut[1:] > cut[:-1])
-        blobs = [keys[cut[b] : cut[b + 1]].tobytes() + row[cut[b] : cut[b + 1]].tobytes() for b in filled]
+        blobs = [keys[cut[b] : cut[b + 1]].tobytes() + _steps(row[cut[b] : cut[b + 1]]) for b in filled]
         where = [*filled.tolist(), -1 - batch]
         return pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array([batch] * len(where), pa.int64()), pa.array([*blobs, manifest.tobytes()], pa.binary())], schema=_DEALT)
 
@@ -112,7 +127,7 @@ def _count(key: tuple, dealt: pa.Table) -> pa.Table:
     at = 0
     for blob, n in zip(blobs, sizes, strict=True):
         keys[at : at + n, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(-1, 6)
-        rows[at : at + n] = np.frombuffer(blob, np.uint16, n, 6 * n)
+        rows[at : at + n] = _rows(blob, n, 6 * n)
         at += n
     keys = keys.view(np.uint64).ravel()
     _, back, docs = np.unique(keys, return_inverse=True, return_counts=True)
@@ -123,11 +138,9 @@ def _count(key: tuple, dealt: pa.Table) -> pa.Table:
         part = slice(ends[k], ends[k + 1])
         keep = docs[part] > 1
         if keep.any():
-            own = np.zeros(int(keep.sum()), _SHARED)
-            own["row"], own["docs"] = rows[part][keep], np.minimum(docs[part][keep], 65535)
-            own["low"], own["high"] = keys[part][keep] & np.uint64(0xFFFFFFFF), keys[part][keep] >> np.uint64(32)
+            own = np.ascontiguousarray(keys[part][keep].view(np.uint8).reshape(-1, 8)[:, :6])
             out_batches.append(batch)
-            out_blobs.append(own.tobytes())
+            out_blobs.append(own.tobytes() + _steps(rows[part][keep]) + _bytes(np.minimum(docs[part][keep], 65535).astype(np.uint16)))
     return pa.Table.from_arrays([pa.array([block] * len(out_batches), pa.int64()), pa.array(out_batches, pa.int64()), pa.array(out_blobs, pa.binary())], schema=_DEALT)
 
 
@@ -141,11 +154,13 @@ def _assemble(share: tuple[int, int]):
             if block < 0:
                 manifest = np.frombuffer(blob, _MANIFEST)
                 continue
-            own = np.frombuffer(blob, _SHARED)
-            row.append(own["row"])
-            docs.append(own["docs"])
+            n = len(blob) // 10
+            row.append(_rows(blob, n, 6 * n))
+            docs.append(np.frombuffer(blob, np.uint8, n, 8 * n) + (np.frombuffer(blob, np.uint8, n, 9 * n).astype(np.uint16) << np.uint16(8)))
             # An n-gram's number: its block above the bits that tell it apart within the block.
-            gram.append(own["low"].astype(np.uint64) | (own["high"].astype(np.uint64) << np.uint64(32)) | np.uint64(block % 65536) << np.uint64(48))
+            key = np.zeros((n, 8), np.uint8)
+            key[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(-1, 6)
+            gram.append(key.view(np.uint64).ravel() | np.uint64(block % 65536) << np.uint64(48))
         grams: list[bytes | None] = [None] * len(manifest)
         if row:
             row_, docs_, gram_ = np.concatenate(row), np.concatenate(docs), np.concatenate(gram)
@@ -278,6 +293,7 @@ def _tasks(rows: DataFrame) -> DataFrame:
 def join(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row: the smallest doc_id that links lead to, and how many other rows link."""
     spark = docs.sparkSession
+    small_batches(spark)
     partitions = shuffle_partitions(spark)
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Entries are dealt evenly by hash; the number of column blocks follows the shuffle partitions.

@@ -17,10 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from unspool.llm import kernels as K
-from unspool.llm.common import fit_sample, held_out
+from unspool.llm.common import held_out
 
 #: Letters fall into 63 classes, anything else into class 0; n-grams are numbers to that base.
 _BASE = 64
@@ -129,14 +130,15 @@ def fit(docs: DataFrame, fit_rows: int = 3_000, landmarks: int = 256) -> KernelR
     Of more than 256 languages the most frequent are learned, which bounds the model.
     """
     own = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = sorted(r[0] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect())
-    if not langs:
+    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
+    if not counts:
         return fit_texts([], [])
-    each = max(1, fit_rows // len(langs))
-    ids = None
-    for lang in langs:
-        part = fit_sample(own.where(F.col("lang") == lang), "doc_id", each)
-        ids = part if ids is None else ids.unionByName(part)
+    # One pass thins every language by hashed ids to a little more than its part, which is then cut.
+    each = max(1, fit_rows // len(counts))
+    key = F.xxhash64(F.lit(20), F.col("doc_id"))
+    share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, (2 * each + 100) / n)))])
+    ids = own.where(F.pmod(key, F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
+    ids = ids.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(key, "doc_id"))).where(F.col("place") <= each).drop("place")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").toPandas()
     rows = rows.sort_values(["doc_id", "text"])
     return fit_texts(rows["text"].tolist(), rows["lang"].tolist(), landmarks)

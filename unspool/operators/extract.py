@@ -115,7 +115,7 @@ def record_diagnostics(parsed: DataFrame) -> DataFrame:
 def container(seen: DataFrame) -> DataFrame:
     """Observations folded to one row a file: the last signature, version and resource, and lists in order."""
     last = lambda kind, value: F.max_by(value, F.when(F.col("kind") == kind, F.col("seq")))
-    in_order = lambda kind, value: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("seq", value.alias("v"))))), lambda x: x["v"])
+    in_order = lambda kind, value: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("seq", value.alias("v"))))), lambda x: x["v"])
     return seen.groupBy("binary_id").agg(
         last("AutoItSignatureFound", F.col("offset")).alias("signature_offset"),
         last("VersionMarkerFound", F.struct("encoding", "offset")).alias("version_marker"),
@@ -191,16 +191,18 @@ def file_time(value: Column) -> Column:
     return F.when(value.try_cast("bigint").isNotNull(), F.timestamp_micros(micros))
 
 
-def decode_tokens(found: DataFrame) -> DataFrame:
-    """binary_id, record_index, line_count, tokens, error of tokenised scripts (bytes)."""
+def decode_tokens(found: DataFrame, keep: tuple[str, ...] = ("binary_id", "record_index")) -> DataFrame:
+    """keep, line_count, tokens, error of tokenised scripts (bytes); nulls where bytes is null."""
 
     def kernel(data: bytes | None) -> dict:
-        lines, tokens, error = tok.parse(data or b"")
+        if data is None:
+            return {}
+        lines, tokens, error = tok.parse(data)
         if tokens is not None:
             tokens = [{"kind": k, "text": t, "i": i, "u": None if u is None else Decimal(u), "f": f} for k, t, i, u, f in tokens]
         return {"line_count": lines, "tokens": tokens, "error": error}
 
-    return map_column(found, "bytes", TOKENS, kernel, ["binary_id", "record_index"])
+    return map_column(found, "bytes", TOKENS, kernel, [*keep])
 
 
 def text_runs(rows: DataFrame, keys: list[str], data: Column, wide: bool = False, least: int = 4) -> DataFrame:

@@ -102,39 +102,48 @@ def indents(lines: DataFrame, keys: list[str], order: str, first: Column, last:
 
 
 def line_text(words: Column) -> Column:
-    """Words of a line with a space between, but none before , ) ] ( [ nor after ( [."""
-    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("string").alias("last"))
+    """Words of a line with a space between, but none before , ) ] ( [ nor after ( [, nor before the first that isn't empty."""
 
-    def add(state: Column, word: Column) -> Column:
-        tight = (state["out"] == "") | word.isin(",", ")", "]", "(", "[") | F.coalesce(state["last"].isin("(", "["), F.lit(False))
-        return F.struct(F.concat(state["out"], F.when(tight, "").otherwise(" "), word).alias("out"), word.alias("last"))
+    def joined(first: Column) -> Column:
+        def spaced(word: Column, i: Column) -> Column:
+            tight = (first == 0) | (i < first) | word.isin(",", ")", "]", "(", "[") | F.coalesce(F.get(words, i - 1).isin("(", "["), F.lit(False))
+            return F.concat(F.when(tight, "").otherwise(" "), word)
 
-    return F.aggregate(words, start, add, lambda s: s["out"])
+        return F.array_join(F.transform(words, spaced), "")
+
+    # An array of one holds what would else be worked out again for every word.
+    first = F.array_position(F.transform(words, lambda w: w != ""), F.lit(True))
+    return F.element_at(F.transform(F.array(first), joined), 1)
 
 
 def render(shown: DataFrame) -> DataFrame:
     """binary_id, record_index, source of tokens with display text; what follows the last line's end is no line."""
     keys = ["binary_id", "record_index"]
     word = F.when(F.col("kind") != "LineEnd", F.struct("pos", F.col("display").alias("d")))
-    lines = shown.groupBy(*keys, "line_no").agg(F.transform(F.array_sort(F.collect_list(word)), lambda x: x["d"]).alias("words"), F.max((F.col("kind") == "LineEnd").cast("int")).alias("ended"))
+    lines = shown.groupBy(*keys, "line_no").agg(F.transform(F.sort_array(F.collect_list(word)), lambda x: x["d"]).alias("words"), F.max((F.col("kind") == "LineEnd").cast("int")).alias("ended"))
     lines = lines.where("ended = 1")
     lines = indents(lines, keys, "line_no", F.try_element_at("words", F.lit(1)), F.try_element_at("words", F.lit(-1)))
     lines = lines.withColumn("line", F.concat(F.repeat(F.lit("\t"), F.col("indent")), line_text(F.col("words")), F.lit("\r\n")))
-    return lines.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "").alias("source"))
+    return lines.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "").alias("source"))
 
 
 def with_sources(found: DataFrame, functions: DataFrame | None = None) -> DataFrame:
-    """scripts() with text, counts and errors of the tokenised ones filled in."""
+    """scripts() with text, counts and errors of the tokenised ones filled in.
+
+    The scripts are read twice, for their facts and for their tokens: parse once and write or
+    persist the result where that costs more than it saves.
+    """
     keys = ["binary_id", "record_index"]
-    decoded = decode_tokens(found.where("kind = 'Tokenized'"))
-    sources = render(tokens(decoded, functions))
-    facts = decoded.select(*keys, "line_count", F.size("tokens").cast("long").alias("token_count"), F.col("error").alias("__error"))
-    out = found.join(facts, keys, "left").join(sources, keys, "left")
-    good = (F.col("kind") == "Tokenized") & F.col("__error").isNull()
+    whole = found.withColumnRenamed("bytes", "__bytes").withColumn("bytes", F.when(F.col("kind") == "Tokenized", F.col("__bytes")))
+    facts = decode_tokens(whole, tuple(c if c != "bytes" else "__bytes" for c in found.columns))
+    facts = facts.withColumn("token_count", F.size("tokens").cast("long")).drop("tokens")
+    sources = render(tokens(decode_tokens(found.where("kind = 'Tokenized'")), functions))
+    out = facts.join(sources, keys, "left")
+    good = (F.col("kind") == "Tokenized") & F.col("error").isNull()
     return out.select(
-        *keys, "name", "kind", "bytes",
+        *keys, "name", "kind", F.col("__bytes").alias("bytes"),
         F.when(good, F.coalesce("source", F.lit(""))).otherwise(F.col("text")).alias("text"),
         F.when(good, "TokenRender").otherwise(F.col("text_encoding")).alias("text_encoding"),
-        F.when(F.col("__error").isNotNull(), F.struct(F.lit("Token").alias("kind"), F.col("__error").alias("reason"))).otherwise(F.col("decode_error")).alias("decode_error"),
-        "line_count", F.when(F.col("__error").isNull(), F.col("token_count")).alias("token_count"), "creation_time", "last_write_time",
+        F.when(F.col("error").isNotNull(), F.struct(F.lit("Token").alias("kind"), F.col("error").alias("reason"))).otherwise(F.col("decode_error")).alias("decode_error"),
+        "line_count", F.when(good, F.col("token_count")).alias("token_count"), "creation_time", "last_write_time",
     )

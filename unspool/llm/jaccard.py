@@ -276,7 +276,8 @@ def _tasks(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("label", "level").agg(F.count("*").alias("m")).groupBy("label").agg(F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("parts")))).alias("parts"))
     sizes = materialize(sizes, "group-sizes")
     small = sizes.where(F.col("m") <= BLOCK_ROWS).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()["m"]
-    bins = max(shuffle_partitions(rows.sparkSession), -(-small // (4 * BLOCK_ROWS)))
+    # Small groups share tasks of as many rows as a block has.
+    bins = max(1, -(-small // BLOCK_ROWS))
     rows = rows.join(sizes, "label")
     whole = F.array(F.struct(F.concat(F.lit("bin:"), F.pmod(F.xxhash64("label"), F.lit(bins)).cast("string")).alias("task"), F.lit(0).alias("side")))
     parts = lambda level: F.coalesce(F.try_element_at("parts", level), F.lit(0))

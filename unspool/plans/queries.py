@@ -96,7 +96,7 @@ def strings_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.strings(docs, most=5).select(F.col("binary_id").alias("doc_id"), "offset", "value")
 
 
-_BYTES = "list_transform(range(0, strlen(t)), lambda i: ('0x' || substr(h, 2 * i::int + 1, 2))::int)"
+_BYTES = "list_transform(regexp_extract_all(h, '..'), lambda p: ('0x' || p)::int)"
 
 
 @query(f"""with b as (select doc_id, strlen(t) as n, {_BYTES} as b from (select doc_id, coalesce(text, '') as t, hex(coalesce(text, '')) as h from documents))

@@ -54,7 +54,7 @@ def sketch(text: Column, width: int = WIDTH, scale_bits: int = SCALE_BITS) -> Co
 
     def of(hashes: Column) -> Column:
         low = F.filter(hashes, lambda h: h.bitwiseAND(F.lit(mask)) < limit)
-        kept = F.array_sort(F.array_distinct(F.transform(low, lambda h: h.bitwiseAND(F.lit(mask)))))
+        kept = F.sort_array(F.array_distinct(F.transform(low, lambda h: h.bitwiseAND(F.lit(mask)))))
         return F.struct(F.when(F.size(hashes) > 0, F.xxhash64(hashes)).otherwise(F.lit(0)).alias("digest"), kept.alias("kept"))
 
     return _let(shingle_hashes(text, width), of)
@@ -80,7 +80,7 @@ def containment(a: Column, b: Column) -> Column:
 
 def merge(a: Column, b: Column) -> Column:
     """The kept hashes of two texts' union."""
-    return F.array_sort(F.array_union(a["kept"], b["kept"]))
+    return F.sort_array(F.array_union(a["kept"], b["kept"]))
 
 
 def _longs(values: list[int]) -> Column:

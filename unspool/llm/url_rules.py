@@ -75,7 +75,7 @@ def mine(labelled: DataFrame, least_rows: int = 25, least_share: float = 0.002,
     sets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least_share, least_rows / n)), minConfidence=confidence).fit(sets)
     rules = model.associationRules.where(F.col("consequent")[0].startswith(_LABEL) & ~F.exists("antecedent", lambda t: t.startswith(_LABEL)))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(_LABEL) + 1, 100).alias("verdict"), "confidence", "support")
+    rules = rules.select(F.sort_array("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(_LABEL) + 1, 100).alias("verdict"), "confidence", "support")
     # Keys and frequencies of single tokens, for the anchors.
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rules = materialize(rules.withColumn("rule_id", F.xxhash64("tokens", "verdict")), "url-rules")

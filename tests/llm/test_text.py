@@ -169,6 +169,34 @@ def test_collisions_are_resolved(spark, monkeypatch, inline):
     assert len(set(seen.values())) == 40 and not set(seen.values()) & {n[3:] for n in names}
 
 
+def test_more_entities_than_replacements_of_their_form(spark):
+    """More one-letter addresses under .com than letters, more secrets and short numbers than digits tell apart."""
+    mails = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in ("foo", "bar")]
+    others = [f"password=......{k}" for k in range(10)]
+    docs = spark.createDataFrame(list(enumerate(mails + others)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.pseudonymize(docs, "k").collect()}
+    assert len(set(new.values())) == len(mails + others) and not set(new.values()) & set(mails + others)
+    assert all(re.fullmatch(r"[a-z]@(?:[a-z]+\.)?example\.com", new[k]) for k in range(len(mails)))
+
+
+@pytest.mark.parametrize("kind,norm,form", [("email", "a@x.com", r"[a-z]@[a-z]{4}\.example\.com"), ("male", "Bob", r"[A-Z][a-z]{23}"), ("phone", "12345", r"\d{9}"), ("card", "4111111111111111", r"4\d{19}"), ("ip", "1.2.3.4", r"2001:db8(?::[0-9a-f]{4}){6}"), ("national_id", "123456789", r"\d{13}"), ("secret", "......1", r"\.{6}\d[0-9a-f]{4}")])
+def test_candidates_grow(spark, kind, norm, form):
+    attempt = 4 + (pii.OWN_FORM_NUMBERS if kind in pii._NUMBERS else pii.OWN_FORM)
+    rows = spark.range(200).select(pii.surrogate("k", F.lit(kind), F.lit(norm), (F.col("id") * 0 + attempt).cast("int")).alias("one"), pii.surrogate("k", F.lit(kind), F.concat(F.lit(norm), F.lit("")), (F.col("id") + attempt).cast("int")).alias("many")).collect()
+    assert all(re.fullmatch(form, r.one) for r in rows) and len({r.many for r in rows}) > 100
+
+
+def test_letters_without_case(spark):
+    """They are replaced by others of their script."""
+    words = {"李明": "[\u4e00-\u9fa5]{2}", "דוד": "[\u05d0-\u05ea]{3}", "محمد": "[\u0620-\u065f]{4}", "राम७": "", "한국": "[\uac00-\ud7a3]{2}", "ひらカナ": "[\u3041-\u30fa]{4}", "٣٤٥": "[\u0660-\u0669]{3}", "𐤀𐤁": "[a-z]{2}"}
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", pii.surrogate("k", F.lit("email"), F.concat("w", F.lit("@例え.cn")), F.lit(0)).alias("new")).collect()
+    for r in rows:
+        local, domain = r.new.split("@")
+        assert domain == "example.cn" and local != r.w and (not words[r.w] or re.fullmatch(words[r.w], local))
+    docs = spark.createDataFrame([(1, "to 李明@例え.cn now")], "doc_id long, text string")
+    assert re.fullmatch(r"to [\u4e00-\u9fa5]{2}@example\.cn now", pii.pseudonymize(docs, "k").collect()[0].text)
+
+
 def test_no_entity_is_left(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     new = {r.doc_id: r.text for r in queries.QUERIES["op7_pii"](spark, BIG).collect()}

@@ -7,7 +7,9 @@ alphabet, and a name after a title gets a name of the same gender and script. Th
 a function of the key and of the entity's normal form, so mentions of one entity agree everywhere
 (coreference) however they are written. All distinct entities of the table are checked: where two
 would share a replacement, or a replacement is itself an entity of the table, all but one take the
-next of their candidates, until none collide (distinctness).
+next of their candidates, until none collide (distinctness). The first few candidates of an entity
+have its own form; later ones grow with the attempt (a label before example.<tld>, syllables, letters,
+digits, an IPv6 address of the range for documentation), so no number of entities uses them up.
 
 The text is rewritten where it stands, without a shuffle. The few entities that needed a later
 candidate travel in the expression up to INLINE_RETRIES, beyond that by a join on the document.
@@ -19,6 +21,8 @@ table gives an empty result. Columns beside text and n_chars pass through.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +64,18 @@ SYLLABLES = {
     "cyrillic": ("бар", "вел", "гор", "дан", "зор", "кал", "лад", "мир", "нов", "пол", "рад", "сол", "тар", "фед", "хол", "чер"),
 }
 
+#: Candidates in an entity's own form before they grow: more for forms that have millions of them.
+OWN_FORM, OWN_FORM_NUMBERS = 3, 16
+_NUMBERS = ("ip", "phone", "card", "national_id", "iban", "access_key")
+#: First and last code point of letters without case, or of digits, that are replaced by one another.
+_RANGES = (
+    (0x5D0, 0x5EA), (0x620, 0x65F), (0x660, 0x669), (0x66E, 0x6D5), (0x6F0, 0x6F9), (0x904, 0x939), (0x966, 0x96F), (0x985, 0x9B9), (0x9E6, 0x9EF), (0xA05, 0xA39), (0xA85, 0xAB9), (0xB05, 0xB39),
+    (0xB83, 0xBB9), (0xC05, 0xC39), (0xC85, 0xCB9), (0xD05, 0xD39), (0xD85, 0xDC6), (0xE01, 0xE2E), (0xE50, 0xE59), (0xE81, 0xEAE), (0xF40, 0xF6C), (0x1000, 0x1021), (0x1200, 0x135A),
+    (0x1780, 0x17B3), (0x1820, 0x1878), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3105, 0x312F), (0x3400, 0x4DB5), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF10, 0xFF19), (0xFF66, 0xFF9D),
+)
+#: Each range with the letters or digits drawn for it, 1,024 at most.
+_CASELESS = [(a, b, "".join(c for c in map(chr, range(a, b + 1)) if unicodedata.category(c) in ("Lo", "Nd"))[:1024]) for a, b in _RANGES]
+
 
 def _let(value: Column, use) -> Column:
     """use(value) with value worked out once a row."""
@@ -97,14 +113,14 @@ def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     return F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("\x1f2")), 256))
 
 
-def _number(stream: Column, place: Column | int, below: int) -> Column:
-    """The place-th keyed number under `below` (at most 256 choices, nearly even)."""
+def _number(stream: Column, place: Column | int, below: Column | int) -> Column:
+    """The place-th keyed number under `below` (at most 1,024 choices, nearly even)."""
     at = (F.lit(place) if isinstance(place, int) else place) % 31
     return (F.conv(F.substring(stream, at * 4 + 1, F.lit(4)), 16, 10).cast("int") % below).cast("int")
 
 
 def _shape(text: Column, stream: Column, digits: str = "0123456789", lower: str = LOWER, upper: str = UPPER) -> Column:
-    """text with each letter and digit replaced by a keyed one of its class."""
+    """text with each letter of two cases and each ASCII digit replaced by a keyed one of its class."""
     chars = F.split(text, "")
 
     def one(c: Column, i: Column) -> Column:
@@ -114,6 +130,18 @@ def _shape(text: Column, stream: Column, digits: str = "0123456789", lower: str
     return F.array_join(F.transform(chars, one), "")
 
 
+def _own_script(text: Column, stream: Column) -> Column:
+    """text with each letter without case and each digit beyond ASCII replaced by a keyed one of its script, by an ASCII one where the script is not known."""
+    ranges = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(x).alias("x"), F.lit(len(x)).alias("n")) for a, b, x in _CASELESS])
+
+    def one(c: Column, i: Column) -> Column:
+        own = F.transform(F.filter(ranges, lambda r: F.ascii(c).between(r["a"], r["b"])), lambda r: F.substring(r["x"], _number(stream, i, r["n"]) + 1, F.lit(1)))
+        other = F.coalesce(F.try_element_at(own, F.lit(1)), F.when(c.rlike("^\\p{N}$"), F.lit("0")).otherwise(F.lit("a")))
+        return F.when(c.rlike("^[\\p{L}\\p{N}&&[^0-9\\p{Ll}\\p{Lu}]]$"), other).otherwise(c)
+
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+
+
 def _luhn(digits: Column) -> Column:
     """The sum that is a multiple of 10 for numbers with a right check digit."""
 
@@ -127,39 +155,45 @@ def _luhn(digits: Column) -> Column:
 
 def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The replacement's normal form: the attempt-th candidate of an entity."""
+    # What later candidates have more than the entity's own form: keyed characters, 16 choices each.
+    more = F.least(F.greatest(attempt - F.when(kind.isin(*_NUMBERS), OWN_FORM_NUMBERS).otherwise(OWN_FORM), F.lit(0)), F.lit(60))
 
-    def of(stream: Column) -> Column:
+    def of(stream: Column, norm: Column) -> Column:
+        grown = F.substring(F.reverse(stream), F.lit(1), more)
+        letters, numbers = F.translate(grown, "0123456789abcdef", "bcdfghjklmnprstv"), F.translate(grown, "abcdef", "012345")
         labels = F.split(F.substring_index(norm, "@", -1), "\\.")
         inner = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0)))
-        email = F.concat(_shape(F.substring_index(norm, "@", 1), stream), F.lit("@"), F.concat_ws(".", F.when(F.size(inner) > 0, _shape(F.array_join(inner, "."), F.reverse(stream))), F.lit("example"), F.element_at(labels, -1)))
+        email = F.concat(_shape(F.substring_index(norm, "@", 1), stream), F.lit("@"), F.concat_ws(".", F.when(F.size(inner) > 0, _shape(F.array_join(inner, "."), F.reverse(stream))), F.when(more > 0, letters), F.lit("example"), F.element_at(labels, -1)))
         ip = F.concat_ws(".", F.lit(240) + _number(stream, 0, 16), _number(stream, 1, 256), _number(stream, 2, 256), F.lit(1) + _number(stream, 3, 254))
+        ip = F.when(more > 0, F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(stream, 4 * k + 1, 4)) for k in range(6)])).otherwise(ip)
         # A phone keeps its country code where it has more than ten digits; no group starts with 0 or 1.
         code = F.greatest(F.length(norm) - 10, F.lit(0))
-        phone = F.concat(F.substring(norm, F.lit(1), code), _shape(F.substring(norm, code + 1, F.lit(1)), stream, "23456789"), _shape(F.substring(norm, code + 2, F.lit(2)), F.substring(stream, 5, 120)), _shape(F.substring(norm, code + 4, F.lit(1)), F.substring(stream, 17, 110), "23456789"), _shape(F.substring(norm, code + 5, F.lit(30)), F.substring(stream, 21, 107)))
-        body = F.concat(F.substring(norm, 1, 1), _shape(F.substring(norm, F.lit(2), F.length(norm) - 2), stream))
+        phone = F.concat(F.substring(norm, F.lit(1), code), _shape(F.substring(norm, code + 1, F.lit(1)), stream, "23456789"), _shape(F.substring(norm, code + 2, F.lit(2)), F.substring(stream, 5, 120)), _shape(F.substring(norm, code + 4, F.lit(1)), F.substring(stream, 17, 110), "23456789"), _shape(F.substring(norm, code + 5, F.lit(30)), F.substring(stream, 21, 107)), numbers)
+        body = F.concat(F.substring(norm, 1, 1), _shape(F.substring(norm, F.lit(2), F.length(norm) - 2), stream), numbers)
         check = ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
         last = F.when(_luhn(norm) % 10 == 0, check).otherwise(((F.lit(10 + 1) + check.cast("int") + _number(stream, 30, 9)) % 10).cast("string"))
         card = F.concat(body, last)
         hexes = F.substring(F.concat(stream, F.reverse(stream)), F.lit(1), F.length(norm))
         hexes = F.when(F.length(norm) <= 256, hexes).otherwise(_shape(norm, stream, lower="abcdef"))
-        secret = F.when(norm.rlike("^[0-9a-f]+$"), hexes).otherwise(_shape(norm, stream))
-        access = F.concat(F.substring(norm, 1, 4), _shape(F.substring(norm, F.lit(5), F.length(norm)), stream, digits="234567"))
-        iban = F.concat(F.substring(norm, 1, 2), _shape(F.substring(norm, F.lit(3), F.length(norm)), stream))
+        secret = F.when(norm.rlike("^[0-9a-f]+$"), F.concat(hexes, grown)).otherwise(F.concat(_shape(norm, stream), grown))
+        access = F.concat(F.substring(norm, 1, 4), _shape(F.substring(norm, F.lit(5), F.length(norm)), stream, digits="234567"), F.upper(letters))
+        iban = F.concat(F.substring(norm, 1, 2), _shape(F.substring(norm, F.lit(3), F.length(norm)), stream), numbers)
         return (
             F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card)
             .when(kind == "secret", secret).when(kind == "access_key", access).when(kind == "iban", iban)
-            .when(kind.isin("female", "male"), _name(kind, norm, stream)).otherwise(_shape(norm, stream))
+            .when(kind.isin("female", "male"), _name(kind, norm, stream, more)).otherwise(F.concat(_shape(norm, stream), numbers))
         )
 
-    return _let(_stream(key, kind, norm, attempt), of)
+    return _let(_stream(key, kind, norm, attempt), lambda stream: _let(F.when(kind.isin("email", "secret"), _own_script(norm, stream)).otherwise(norm), lambda own: of(stream, own)))
 
 
-def _name(kind: Column, norm: Column, stream: Column) -> Column:
-    """A first and last name, or a last name only, of the gender and script asked for."""
+def _name(kind: Column, norm: Column, stream: Column, more: Column) -> Column:
+    """A first and last name, or a last name only, of the gender and script asked for; more: syllables beyond four."""
 
     def of(gender: str, script: str) -> Column:
         pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), _number(stream, k, len(words)) + 1)
-        last = F.initcap(F.concat(*[pick(SYLLABLES[script], k) for k in (1, 2, 3, 4)]))
+        longer = F.transform(F.sequence(F.lit(0), more), lambda k: F.when(k > 0, pick(SYLLABLES[script], k + 4)).otherwise(""))
+        last = F.initcap(F.concat(*[pick(SYLLABLES[script], k) for k in (1, 2, 3, 4)], F.array_join(longer, "")))
         return F.when(norm.contains(" "), F.concat(pick(FIRST[gender, script], 0), F.lit(" "), last)).otherwise(last)
 
     by_script = lambda g: F.when(norm.rlike("\\p{IsCyrillic}"), of(g, "cyrillic")).otherwise(of(g, "latin"))
@@ -167,14 +201,14 @@ def _name(kind: Column, norm: Column, stream: Column) -> Column:
 
 
 def _pour(mention: Column, digits: Column) -> Column:
-    """The mention with its digits replaced by others in order, separators kept."""
+    """The mention with its digits replaced by others in order, separators kept; digits beyond the mention's follow it."""
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("used"))
 
     def step(s: Column, c: Column) -> Column:
         digit = c.rlike("^[0-9]$")
         return F.struct(F.concat(s["out"], F.when(digit, F.substring(digits, s["used"] + 1, F.lit(1))).otherwise(c)).alias("out"), (s["used"] + digit.cast("int")).alias("used"))
 
-    return F.aggregate(F.split(mention, ""), state, step, lambda s: s["out"])
+    return F.aggregate(F.split(mention, ""), state, step, lambda s: F.concat(s["out"], F.substring(digits, s["used"] + 1, F.length(digits))))
 
 
 def replacement(key: str, mention: Column, attempt_of) -> Column:
@@ -200,13 +234,13 @@ def entities(docs: DataFrame) -> DataFrame:
     return found.select("kind", normal(F.col("kind"), F.col("mention")).alias("norm")).distinct()
 
 
-def later_candidates(found: DataFrame, key: str, rounds: int = 32) -> DataFrame:
+def later_candidates(found: DataFrame, key: str) -> DataFrame:
     """The entities of found (kind, norm) whose first candidate collides, with the one that doesn't: kind, norm, attempt.
 
     Each round compares all entities' candidates with each other and with the entities themselves.
     """
-    current, retries = materialize(found.withColumn("attempt", F.lit(0)), "entities"), None
-    for _ in range(rounds):
+    current = materialize(found.withColumn("attempt", F.lit(0)), "entities")
+    while True:
         made = current.withColumn("new", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
         # Of those that share a candidate the one with the fewest attempts, then the smaller, keeps it.
         kept = made.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm"))["norm"].alias("first")).where("n > 1")
@@ -214,11 +248,8 @@ def later_candidates(found: DataFrame, key: str, rounds: int = 32) -> DataFrame:
         real = made.join(current.select("kind", F.col("norm").alias("new")), ["kind", "new"], "left_semi").select("kind", "norm")
         losers = materialize(shared.union(real).distinct().withColumn("lost", F.lit(1)), "collisions")
         if losers.isEmpty():
-            break
+            return current.where("attempt > 0")
         current = materialize(current.join(losers, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt")), "entities")
-    else:
-        raise ValueError(f"replacements still collide after {rounds} rounds: a kind has nearly as many entities as replacements")
-    return current.where("attempt > 0")
 
 
 def _rewritten(docs: DataFrame, key: str, attempt_of) -> DataFrame:

@@ -87,6 +87,24 @@ def test_bounds_lose_nothing():
         assert set(found) == want
 
 
+@pytest.mark.parametrize("form", ["{}", "{}.", "{}. Yes", "{}? Some two.", "Why so? {}"])
+def test_edited_copies_of_items_equal_a_plain_search(form):
+    """Head, middle or tail changed: what holds half of the five-word runs of an item without a long question and answer is found."""
+    import random
+
+    rng = random.Random(5)
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", t.lower())] for i in range(len(w) - 4)}
+    items = [(k, form.format(" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(24)))) for k in range(40)]
+    docs = []
+    for _, text in items:
+        words = text.split()
+        for at, n in ((0, 1), (0, 3), (2, 1), (10, 3), (len(words) - 3, 3), (len(words) - 1, 1), (0, 0), (0, 20)):
+            docs.append("filler text before it " + " ".join([*words[:at], *["changed"] * n, *words[at + n :]]) + " and after")
+    got = decontaminate.search(decontaminate.build(items), pa.array(docs))
+    want = [{k for k, t in items if len(grams(t) & grams(d)) >= 0.5 * len(grams(t))} for d in docs]
+    assert [set(x) for x in got] == want and sum(map(len, want)) == 7 * len(items)
+
+
 def _buffer(text):
     import numpy as np
 

@@ -6,7 +6,9 @@ they share is a given share of the item's own weight. Items stand in blocks, and
 the largest weight it has in a block; terms too common to decide (their weights together stay under
 a slack) are left out of the bound. Only the blocks whose bound reaches the threshold are scored.
 What is retrieved is verified: the passage must hold enough of the three-word runs of the item's
-question (all but its last sentence) and of the words of its answer (the last sentence).
+question (all but its last sentence) and of the words of its answer (the last sentence). An item of
+one sentence, or with a question or answer of fewer than SHORT words, is verified by the runs of the
+whole item.
 
 A null or empty text and one shorter than three words matches nothing; a null or wordless item is
 ignored; repeated rows and ties give the same items; without items nothing is retrieved. Columns
@@ -30,6 +32,8 @@ from unspool.llm import kernels as K
 K1, BETA = 1.2, 0.75
 #: Items that one broadcast index holds at most; more are searched in several indexes.
 INDEX_ITEMS = 20_000
+#: A question or answer of fewer words is not verified by itself: one edit could hide it.
+SHORT = 5
 _BLOCK = 4
 #: Cells times targets that are summed at once.
 _DENSE = 1 << 21
@@ -89,7 +93,10 @@ def build(rows: list[tuple[int, str]], threshold: float = 0.4, overlap: float =
         own = sum(raw.values())
         parts = [p for p in _SENTENCE.split(text) if hashes(p)]
         answer = hashes(parts[-1])
-        items.append(Item(item_id, {w: float(x / own) for w, x in raw.items()}, _runs(words[: max(3, len(words) - len(answer))]), set(answer)))
+        asked = len(words) - len(answer)
+        if asked < SHORT or len(answer) < SHORT:
+            asked, answer = len(words), []
+        items.append(Item(item_id, {w: float(x / own) for w, x in raw.items()}, _runs(words[:asked]), set(answer)))
     terms = np.array(sorted(seen), np.uint64)
     largest = np.zeros(len(terms))
     at = {int(t): k for k, t in enumerate(terms)}

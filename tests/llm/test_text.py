@@ -44,6 +44,18 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("name", "discussion related related-work feedback legal search search-methods side tags share menu menus login nav comments alert reply disclaimer".split())
+@pytest.mark.parametrize("inner", ["<section id='{}'><h2>Head</h2><p>Body of it, with marks.</p></section>", "<h2 id='{}'>Head</h2><p>Body of it, with marks.</p>", "<div id='{}' class='section level2'><h2>Head</h2><p>Body of it, with marks.</p></div>", "<h2>Head</h2><p class='{}'>Body of it, with marks.</p>"])
+def test_names_within_an_article_keep_its_text(name, inner):
+    page = "<article><p>First paragraph, of some length.</p>" + inner.format(name) + "<p>Last, too.</p></article>"
+    assert html_text.main_text(page) == "First paragraph, of some length.\n\nHead\n\nBody of it, with marks.\n\nLast, too."
+
+
+@pytest.mark.parametrize("extra", ["<div class='share'><a href=x>Post it</a> <a href=y>Mail it</a></div>", "<ul class='related'><li><a href=x>Another page, read it.</a></ul>", "<div class='ad'>Buy now</div>", "<div class='cookie-notice'><p>We use cookies</p></div>", "<div class='comments'><p>A reader wrote this, at some length; and more.</p></div>", "<ol class='commentlist'><li>First!</ol>", "<div id='disqus_thread'>x</div>"])
+def test_what_is_not_the_article_goes(extra):
+    assert html_text.main_text("<article><p>First paragraph, of some length.</p>" + extra + "<p>Last of them, too, is long.</p></article>") == "First paragraph, of some length.\n\nLast of them, too, is long."
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None, 1), (1, "u", "<article>x</article>", 2), (1, "u", "<article>x</article>", 2), (None, "u", "<article>" + "<p>word. " * 50_000 + "</article>", 3)], "page_id long, url string, html string, text int")
     rows = pages.select("page_id", html_text.extract(F.col("html")).alias("t")).collect()

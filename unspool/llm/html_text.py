@@ -6,7 +6,10 @@ smoothed over the page's order and fused by a product; a path whose blocks' mean
 threshold is no content. The content region is the innermost container that holds nearly all of the fused
 weight; where that is an article (or main) element the whole of it is kept, elsewhere only the
 blocks of content paths and the headings before them. Menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments are cut by their markup before ratios are taken.
+adverts, forms and reader comments are cut by their markup before ratios are taken. Within an article
+(or main) element a class or id is weak evidence, as headings and sections are named by their words:
+only names of reader comments cut by themselves, other names where most of the text is links, and
+names of adverts and notices also where the ratios are low.
 
 A null or empty page, and one without content, gives an empty text. Repeated rows give repeated
 results; an empty table gives an empty result. Columns beside `html` pass through.
@@ -32,6 +35,11 @@ _CUT = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "i
 _CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 #: Parts of class and id names that mark what is not the article.
 _CUT_NAMES = re.compile(r"(?:^|[-_ ])(ads?|adsbygoogle|ad(?:box|slot|unit|wrap\w*)|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notices?|notification\w*|alert|newsletter|subscribe|signup|login|sidebar|side|widget\w*|menu\w*|nav\w*|breadcrumbs?|pagination|pager|footer|footnav|masthead|topbar|header|comments?|commentlist|responses|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommend\w*|popup|modal|overlay|toolbar|skip\w*|search\w*|tags|byline-share|copyright|legal|disclaimer|feedback)(?=$|[-_ ])", re.I)
+#: Names that nothing but reader comments has, and names of adverts and notices.
+_COMMENT_NAMES = re.compile(r"disqus[-_]thread|comment-?list|comments-area|comment-respond|comments-section|reader-comments|user-comments", re.I)
+_NOTICE_NAMES = re.compile(r"ads?|adsbygoogle|ad-?(?:box|slot|unit|wrap\w*|container)|advert\w*|sponsored|promo|cookies?(?:-\w+)*|gdpr(?:-\w+)*|consent(?:-\w+)*|newsletter(?:-\w+)*", re.I)
+#: Elements that names say something of within an article.
+_NAMED = {"div", "ul", "ol", "dl", "table", "ins"}
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _MARKS = re.compile(r"[.,;:!?]")
@@ -40,13 +48,16 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 
 
 class _Node:
-    __slots__ = ("tag", "cut", "path", "links", "region", "parent")
+    __slots__ = ("tag", "cut", "path", "links", "region", "parent", "suspect", "notice")
 
     def __init__(self, tag: str, parent: _Node | None, cut: bool):
         self.tag, self.parent = tag, parent
         self.cut = cut or (parent is not None and parent.cut)
         self.path = (parent.path if parent else "") + "/" + tag
         self.links = tag == "a" or (parent is not None and parent.links)
+        #: The outermost element around that a name speaks against, and whether it is an advert's or notice's.
+        self.suspect: _Node | None = parent.suspect if parent else None
+        self.notice = False
         self.region = self if tag in ("article", "main") else parent.region if parent else None
 
 
@@ -58,10 +69,10 @@ def _is_cut(tag: str, attrs: str, in_region: bool) -> bool:
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
         value = _CAMEL.sub("-", value)
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            # Within an article a header is its own: it holds the title.
-            names = _CUT_NAMES.findall(value)
-            if names and not (in_region and all(n.lower() in ("header", "masthead") for n in names)):
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not in_region and _CUT_NAMES.search(value):
+            return True
+        if in_region and tag in _NAMED and name in ("class", "id"):
+            if any(_COMMENT_NAMES.fullmatch(x) or (name == "class" and x.lower() == "comments") for x in value.split()):
                 return True
         if name in ("class", "id") and tag == "article" and re.search(r"(?:^|[-_ ])(?:comments?|reply|ads?|related|promo)(?=$|[-_ ])", value, re.I):
             return True
@@ -72,6 +83,29 @@ def _is_cut(tag: str, attrs: str, in_region: bool) -> bool:
     return False
 
 
+def _suspicion(attrs: str) -> tuple[bool, bool]:
+    """Whether a class speaks against an element within an article, and whether it is an advert's or notice's."""
+    classes = [_CAMEL.sub("-", next((v for v in values if v), "")) for name, *values in _ATTR.findall(attrs) if name.lower() == "class"]
+    words = [x for value in classes for x in value.split() if x.lower() not in ("header", "masthead")]
+    return any(_CUT_NAMES.search(x) for x in words), any(_NOTICE_NAMES.fullmatch(x) for x in words)
+
+
+def _without_suspects(found: list[tuple[str, _Node, int]], low: float = 0.5) -> list[tuple[str, _Node, int]]:
+    """found without the suspects that are mostly links, and the adverts and notices whose ratios are under `low` of the rest's."""
+    if not any(n.suspect is not None for _, n, _ in found):
+        return found
+    ratio = lambda t, linked: max(0, len(t) - linked) * (1 + len(_MARKS.findall(t)))
+    rest = [(len(t), ratio(t, linked)) for t, n, linked in found if n.suspect is None]
+    mean = sum(a * b for a, b in rest) / max(1, sum(a for a, _ in rest))
+    own: dict[int, list[tuple[int, int, float]]] = {}
+    for t, n, linked in found:
+        if n.suspect is not None:
+            own.setdefault(id(n.suspect), []).append((len(t), linked, ratio(t, linked)))
+    linked = {k for k, x in own.items() if 2 * sum(y[1] for y in x) >= sum(y[0] for y in x)}
+    thin = {k for k, x in own.items() if sum(y[2] for y in x) / len(x) < low * mean}
+    return [x for x in found if (s := x[1].suspect) is None or not (id(s) in linked or (s.notice and id(s) in thin))]
+
+
 def blocks(page: str) -> list[tuple[str, _Node, int]]:
     """Text, element and characters within links of each block that the markup does not cut."""
     out: list[tuple[str, _Node, int]] = []
@@ -122,6 +156,9 @@ def blocks(page: str) -> list[tuple[str, _Node, int]]:
         elif tag not in _VOID:
             node = _closed_by(tag, node)
             node = _Node(tag, node, node.cut or _is_cut(tag, m.group(3), node.region is not None))
+            if m.group(3) and tag in _NAMED and node.suspect is None and node.region is not None:
+                suspect, node.notice = _suspicion(m.group(3))
+                node.suspect = node if suspect or node.notice else None
             if m.group(3).endswith("/") and tag not in _BLOCK:
                 node = node.parent or node
     flush(node)
@@ -163,7 +200,7 @@ def _fused(found: list[tuple[str, _Node, int]]) -> np.ndarray:
 
 def main_text(page: str | None, floor: float = 0.15, held: float = 0.6) -> str:
     """The blocks of the content, joined by an empty line. floor: a path's least score as a share of the mean; held: the share of all weight that a region must hold."""
-    found = blocks(page or "")
+    found = _without_suspects(blocks(page or ""))
     if not found:
         return ""
     score = _fused(found)

@@ -56,6 +56,12 @@ def test_what_is_not_the_article_goes(extra):
     assert html_text.main_text("<article><p>First paragraph, of some length.</p>" + extra + "<p>Last of them, too, is long.</p></article>") == "First paragraph, of some length.\n\nLast of them, too, is long."
 
 
+@pytest.mark.parametrize("tag", ["script", "IFRAME", "svg"])
+def test_letters_that_grow_when_lowered(tag):
+    page = "<article><p>" + "\u0130" * 40 + f".</p><{tag}>x</{tag.swapcase()}><p>after, it.</p></article>"
+    assert html_text.main_text(page) == "\u0130" * 40 + ".\n\nafter, it."
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None, 1), (1, "u", "<article>x</article>", 2), (1, "u", "<article>x</article>", 2), (None, "u", "<article>" + "<p>word. " * 50_000 + "</article>", 3)], "page_id long, url string, html string, text int")
     rows = pages.select("page_id", html_text.extract(F.col("html")).alias("t")).collect()

@@ -29,6 +29,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|
 _ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: Elements whose content is never text of the page.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "math", "canvas", "video", "audio"}
+#: Where a raw element ends; only A-Z are the same in both cases, so places are those of the page itself.
+_RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in _RAW}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "html", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption"}
 _CUT = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "input", "label", "fieldset"}
@@ -109,7 +111,7 @@ def _without_suspects(found: list[tuple[str, _Node, int]], low: float = 0.5) ->
 def blocks(page: str) -> list[tuple[str, _Node, int]]:
     """Text, element and characters within links of each block that the markup does not cut."""
     out: list[tuple[str, _Node, int]] = []
-    node, buffer, linked, low = _Node("", None, False), [], 0, None
+    node, buffer, linked = _Node("", None, False), [], 0
     place, end = 0, len(page)
 
     def flush(at: _Node) -> None:
@@ -136,10 +138,9 @@ def blocks(page: str) -> list[tuple[str, _Node, int]]:
             continue
         tag, closing = m.group(2).lower(), bool(m.group(1))
         if tag in _RAW and not closing:
-            low = page.lower() if low is None else low
             if not m.group(3).rstrip().endswith("/"):
-                stop = low.find("</" + tag, place)
-                close = page.find(">", stop) if stop >= 0 else -1
+                stop = _RAW_END[tag].search(page, place)
+                close = page.find(">", stop.start()) if stop else -1
                 place = close + 1 if close >= 0 else end
             continue
         if tag in _BLOCK:

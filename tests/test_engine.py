@@ -83,6 +83,15 @@ def rendered(spark, lines, functions=None):
     return out[0].source if out else ""
 
 
+def test_functions_of_the_whole_table(spark):
+    """Without a table of the caller's, ids and spellings of all known functions are looked up."""
+    s, n = tok.string_token, tok.number_token
+    names = tok.FUNCTIONS
+    assert len(names) == 405 == len({x.lower() for x in names}) and [names[k] for k in (0, 2, 3, 248, 404)] == ["Abs", "AdlibRegister", "AdlibUnRegister", "MsgBox", "WinWaitNotActive"]
+    assert rendered(spark, [n(0x01, k) for k in range(406)]).split("\r\n")[:-1] == [*names, "<function:405>"]
+    assert rendered(spark, [s(0x31, x.upper()) for x in (*names, "other")]).split("\r\n")[:-1] == [*names, "OTHER"]
+
+
 def test_rendering(spark):
     s, n, op = tok.string_token, tok.number_token, tok.operator_token
     key = lambda name: n(0x00, tok.KEYWORDS.index(name))

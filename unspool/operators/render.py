@@ -22,6 +22,10 @@ def keywords(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*enumerate(tok.KEYWORDS)], "id int, name string")
 
 
+def function_names(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([*enumerate(tok.FUNCTIONS)], "id int, name string")
+
+
 def macros(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(m,) for m in tok.MACROS], "name string")
 
@@ -44,10 +48,10 @@ def _small(names: DataFrame) -> DataFrame:
 def look_up(rows: DataFrame, functions: DataFrame | None = None) -> DataFrame:
     """Tokens with names for ids and canonical spelling for names, where the tables have them.
 
-    functions: (id, name); without it function ids stay unknown and function names as written.
+    functions: (id, name); without it the known function names (kernels.tokens.FUNCTIONS).
     """
     spark = rows.sparkSession
-    functions = functions if functions is not None else spark.createDataFrame([], "id int, name string")
+    functions = functions if functions is not None else function_names(spark)
     by_id = keywords(spark).select(F.lit("KeywordId").alias("of"), "id", F.col("name").alias("by_id")).unionByName(functions.select(F.lit("FunctionId").alias("of"), F.col("id").cast("int").alias("id"), F.col("name").alias("by_id")))
     named = [(keywords(spark).where("id > 0"), "KeywordString"), (functions, "FunctionString"), (macros(spark), "MacroString")]
     by_name = None

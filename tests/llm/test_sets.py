@@ -150,28 +150,32 @@ def test_mix_of_odd_rows(spark):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
-def plain_join(rows):
+def plain_join(rows, share=(75, 100)):
+    """Every row is a node; a component's id is the smallest of its rows' ids."""
     sets = [(i, shingles(t)) for i, t in rows]
-    parent = {i: i for i, _ in sets}
+    parent = list(range(len(sets)))
 
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
 
     links = [0] * len(sets)
     for a, b in itertools.combinations(range(len(sets)), 2):
-        (i, x), (j, y) = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+        x, y = sets[a][1], sets[b][1]
+        if x and y and share[1] * len(x & y) >= share[0] * len(x | y):
             links[a] += 1
             links[b] += 1
-            lo, hi = sorted((root(i), root(j)))
-            parent[hi] = lo
-    return sorted((i, len(s), root(i), links[k]) for k, (i, s) in enumerate(sets))
+            parent[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        least.setdefault(root(k), []).append(i)
+    ids = {k: min((i for i in own if i is not None), default=None) for k, own in least.items()}
+    return sorted(((i, len(s), ids[root(k)], links[k]) for k, (i, s) in enumerate(sets)), key=str)
 
 
-def joined(docs):
-    return sorted(tuple(r) for r in jaccard.join(docs).select("doc_id", "n_shingles", "component_id", "n_links").collect())
+def joined(docs, share=(75, 100)):
+    return sorted((tuple(r) for r in jaccard.join(docs, share).select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str)
 
 
 def test_join_of_odd_rows(spark):
@@ -182,8 +186,35 @@ def test_join_of_odd_rows(spark):
     assert joined(nothing) == plain_join([(r.doc_id, r.text) for r in nothing.collect()])
 
 
-@pytest.mark.parametrize("block,flush", [(512, 1 << 21), (16, 300)])
-def test_join_of_many_near_copies(spark, monkeypatch, block, flush):
+A, B = "one text of some seven words here", "quite another text with no shared run"
+
+
+def test_join_of_rows_that_share_an_id(spark):
+    """Rows are nodes of their own: an id that two unlike texts share ties nothing together."""
+    rows = [(3, A), (6, A), (6, B), (9, B), (None, B), (None, "a text of nobody with an id at all"), (8, A + " too"), (5, "b " + B), (6, "x y"), (6, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(docs, (60, 100)) == plain_join(rows, (60, 100))
+    assert joined(docs) == plain_join(rows)
+    groups = {}
+    for r in jaccard.join(docs, tag=F.length("text")).collect():
+        groups.setdefault(r.group_id, set()).add((r.tag, r.component_id))
+    assert {(len(A), 3), (len(A) + 4, 3)} in groups.values() and {(len(B), 5), (len(B) + 2, 5)} in groups.values()
+
+
+@pytest.mark.parametrize("copied,common", [(0, 2), (1, 3), (256, 32)])
+def test_join_of_common_grams_and_many_copies(spark, monkeypatch, copied, common):
+    monkeypatch.setattr(jaccard, "MOST_COPIED", copied)
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    rng = random.Random(8)
+    line = " ".join(f"l{k}" for k in range(12))
+    rows = [(k, line + " " + " ".join(f"u{rng.randrange(40)}x{k % 7}" for _ in range(rng.choice((1, 2, 30))))) for k in range(90)]
+    rows += [(k, line) for k in range(90, 140)] + [(k, "") for k in range(140, 160)] + [(k, None) for k in range(160, 170)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert joined(docs) == plain_join(rows)
+
+
+@pytest.mark.parametrize("block,flush,share", [(512, 1 << 21, (75, 100)), (16, 300, (75, 100)), (8, 300, (50, 100)), (8, 300, (100, 100))])
+def test_join_of_many_near_copies(spark, monkeypatch, block, flush, share):
     """Chains and groups around the bound, in one task and cut into blocks, equal to all pairs."""
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
     monkeypatch.setattr(jaccard, "FLUSH_ENTRIES", flush)
@@ -201,7 +232,7 @@ def test_join_of_many_near_copies(spark, monkeypatch, block, flush):
     texts += [" ".join(passage), "same", "same", "Same", ""]
     ids = rng.sample(range(-500, 500), len(texts))
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
-    assert joined(docs) == plain_join(list(zip(ids, texts, strict=True)))
+    assert joined(docs, share) == plain_join(list(zip(ids, texts, strict=True)), share)
 
 
 def test_bound_is_sharp(spark):
@@ -302,20 +333,75 @@ def test_pipeline(spark):
         assert now <= ids and len(now) >= 0.8 * len(ids), name
         if name == "jaccard":
             want = plain_join([(r.doc_id, r.text) for r in kept.collect()])
-            assert now == {i for i, _, root, _ in want if i == root}
+            assert now == {i for i, _, least, _ in want if i == least}
         if name == "pii":
             assert now == ids and all(r.n_chars == len(r.text) for r in rows)
         ids, kept = now, new
     assert [name for name, _ in p.STAGES] == ["quality", "jaccard", "decontaminate", "pii", "mix"]
-    assert {r.doc_id for r in p.STAGES[-1][1](spark, kept, BIG).collect()} == ids
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    mixed = p.STAGES[-1][1](spark, kept, BIG)
+    rows = mixed.collect()
+    assert {r.doc_id: r.text for r in rows} == texts and {"lang", "source", "n_chars", "positions"} < set(mixed.columns)
+    plain_mix = {r.doc_id: (r.taken, r.positions) for r in mixing.mix(kept).collect()}
+    assert {r.doc_id: (r.taken, r.positions) for r in rows} == plain_mix
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
 
 
 def test_pipeline_of_odd_rows(spark):
     import corpus_pipeline as p
 
     docs = odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(None, "x y", "en", None, 3)], "doc_id long, text string, lang string, source string, n_chars long"))
+    names = docs.columns
+    docs = docs.withColumns({"size": F.lit(7), "taken": F.lit("x"), "n_entities": F.lit(1), "tag": F.lit(2), "group_id": F.lit(3), "kept": F.lit(4)})
     for frame, n in ((docs, 12), (docs.limit(0), 0)):
-        for _, stage in p.STAGES:
-            assert stage(spark, frame, BIG).count() <= n
+        for name, stage in p.STAGES:
+            out = stage(spark, frame, BIG)
+            assert out.count() <= n and set(names) <= set(out.columns), name
     kept = p.keep_one_of_each(spark, docs, BIG).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(i) for i in (1, 2, 3, 4, 6, 7, 9, -4, None))
+
+
+def test_stage_loses_no_text(spark):
+    """Rows that share an id stay or go by their own texts; every kind of text keeps one row."""
+    import corpus_pipeline as p
+
+    rows = [(3, A), (6, A), (6, B), (9, B), (None, B), (None, "a text of nobody"), (6, "x y"), (6, "x y"), (6, None), (6, None), (7, ""), (None, None), (None, None), (2, "solo words")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(rows)], schema)
+    kept = [(r.doc_id, r.text) for r in p.keep_one_of_each(spark, docs, BIG).collect()]
+    assert sorted(kept, key=str) == sorted([(3, A), (6, B), (None, "a text of nobody"), (6, "x y"), (6, None), (7, ""), (None, None), (2, "solo words")], key=str)
+
+
+def test_run_returns_texts_and_leaves_few_tables(spark, data_dir):
+    import corpus_pipeline as p
+    from unspool.llm import common
+
+    before = set(common.written(spark))
+    out = p.run(spark, data_dir)
+    rows = out.collect()
+    assert rows and all(r.taken == 0 or r.text for r in rows) and all(len(r.positions) == -(-r.taken // r.size) for r in rows if r.size)
+    assert sum("/stage-" in x for x in set(common.written(spark)) - before) <= 1
+
+
+def test_copies_are_the_curriculum(spark):
+    mixed = mixing.mix(odd_docs(spark), keep=["text", "lang"])
+    rows = mixing.copies(mixed).collect()
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    taken = {}
+    for r in rows:
+        assert 0 < r.words <= r.size == len(words(r.text))
+        taken.setdefault((r.doc_id, r.text), []).append(r.words)
+    want = {}
+    for r in mixed.collect():
+        if r.taken:
+            want.setdefault((r.doc_id, r.text), []).append(r.taken)
+    assert {k: sum(v) for k, v in taken.items()} == {k: sum(v) for k, v in want.items()}
+
+
+def test_many_sources_are_ranked_in_ranges(spark):
+    rng = random.Random(3)
+    names = {"".join(rng.choice("aZ\u00e9\u4e00\U0001f600-") for _ in range(rng.randrange(0, 4))) for _ in range(60)}
+    sizes = {n: rng.randrange(0, 50) for n in names} | {None: 9}
+    goal = plain_targets(sizes)
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    assert {r.source: round(r.target, 6) for r in got} == {n: round(g, 6) for n, g in goal.items()}

@@ -2,47 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unspool.storage import delete, materialize, release, shared_dir, written
+
+__all__ = ["delete", "fit_sample", "held_out", "lower_ascii", "materialize", "release", "shared_dir", "shuffle_partitions", "small_batches", "table", "written"]
+
 #: White space of the word definition, as code points: space and 0x09 to 0x0D.
 SPACE_CHARS = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE_CHARS}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    if given := spark.conf.get("spark.checkpoint.dir", None):
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="unspool-")
-        atexit.register(shutil.rmtree, _own_dirs[app], True)
-    return _own_dirs[app]
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what this application wrote to the shared folder; results that still read it must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and return a reader of it: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Lower the session's Arrow batches to `most` bytes if they are larger: rows are whole texts, and a worker holds a batch and its kernel's arrays at once."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unspool.llm.common import materialize
+from unspool.llm.common import delete, materialize, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     nodes only, so a label is a component's smallest node. Neighbours are reduced before they are
     shuffled; a node with very many of them is split by the skew join.
     """
+    spark, before = edges.sparkSession, len(written(edges.sparkSession))
     ends = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     ends = materialize(ends, "edges")
     labels = None
@@ -33,4 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         new = ends.join(hooks.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(hooks.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
         new = new.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         ends = materialize(new, "edges")
+        # The last two tables, labels and edges, are whole by themselves: those before them go.
+        delete(spark, written(spark)[before:-2])
     return labels if labels is not None else ends.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -11,11 +11,16 @@ Groups too large for a task are cut by size class (only neighbouring classes can
 hash into row blocks, and every pair of blocks is a task of its own. A product gives each row's
 number of links and its smallest linked row, never a list of pairs.
 
-Texts with the same set are one class and stand as one row in the product.
-
-Defined results: a null or wordless text has no n-grams and links with nothing; fewer than five
-words make one n-gram; rows with the same doc_id are one node; a row without doc_id links with
-nothing and has no component; an empty table gives an empty result. Other columns are ignored.
+Texts with the same set are one class and stand as one row in the product. The number of column
+blocks follows the bytes of text, so a block stays as large at any size of the table; an n-gram
+that many documents of a batch hold travels to its block as one entry with their number, so a very
+common n-gram doesn't gather in one block.
+
+Defined results: every row is a document of its own, also where rows share a doc_id: such rows
+link only if their texts do, and each gets the smallest doc_id of its own component. A null or
+wordless text has no n-grams and links with nothing; fewer than five words make one n-gram; a row
+without doc_id links like any other and lends its component no id; an empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,22 +31,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unspool.llm import kernels as K
-from unspool.llm.common import materialize, shuffle_partitions, small_batches
+from unspool.llm.common import delete, materialize, small_batches, written
 from unspool.llm.graph import components
 
 WIDTH = 5
 SHARE = (75, 100)
 #: Entries and rows of the incidence that a task holds before it deals them out.
 FLUSH_ENTRIES, FLUSH_ROWS = 1 << 20, 60_000
+#: Bytes of text whose entries make a column block.
+BLOCK_BYTES = 2 << 20
+#: Documents of a batch from which on an n-gram of theirs is one entry.
+COMMON = 32
 #: Rows of a block of the product, and columns that are multiplied at once.
 BLOCK_ROWS, BLOCK_COLUMNS = 512, 4096
+#: Classes of most copies that meet their rows by a broadcast; all others by a shuffle.
+MOST_COPIED = 256
 _KEY = np.uint64((1 << 48) - 1)
 _DEALT = pa.schema([("block", pa.int64()), ("batch", pa.int64()), ("blob", pa.binary())])
-_MANIFEST = np.dtype([("doc_id", "<i8"), ("n", "<i8"), ("d1", "<i8"), ("d2", "<i8"), ("first", "?")])
+_MANIFEST = np.dtype([("doc_id", "<i8"), ("tag", "<i8"), ("n", "<i8"), ("d1", "<i8"), ("d2", "<i8"), ("known", "?"), ("first", "?")])
 
 
 def digest(own: np.ndarray) -> tuple[int, int]:
@@ -71,46 +82,85 @@ def _rows(blob: bytes, n: int, at: int) -> np.ndarray:
     return np.cumsum(low.astype(np.uint16) + (high.astype(np.uint16) << np.uint16(8)), dtype=np.uint16)
 
 
+def _block_of(h: np.ndarray, blocks: int) -> np.ndarray:
+    return (((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _key_bytes(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray((h & _KEY).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _keys(blob: bytes, n: int, at: int) -> np.ndarray:
+    key = np.zeros((n, 8), np.uint8)
+    key[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(-1, 6)
+    return key.view(np.uint64).ravel()
+
+
+def _common(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries h: the n-grams that COMMON rows or more hold, their counts, and the place of each entry's n-gram or -1."""
+    bin_ = (h & np.uint64(0xFFFFF)).astype(np.int64)
+    some = np.flatnonzero(np.bincount(bin_, minlength=1 << 20)[bin_] >= COMMON)
+    place = np.full(len(h), -1)
+    grams, back, count = np.unique(h[some], return_inverse=True, return_counts=True)
+    often = count >= COMMON
+    place[some] = np.where(often, np.cumsum(often) - 1, -1)[back] if len(some) else -1
+    return grams[often], count[often], place
+
+
 def _deal(blocks: int):
-    """Rows (doc_id, text) to the entries of each column block, and a manifest of the rows of each batch."""
+    """Rows (doc_id, tag, text) to the entries of each column block, and a manifest of the rows of each batch.
 
-    def out(ids: list[int], sets: list[np.ndarray], batch: int) -> pa.RecordBatch:
+    A block's blob: the number of common n-grams, the other entries (n-gram, row), the common n-grams
+    with their counts. The rows of common n-grams stay in the manifest.
+    """
+
+    def out(ids: list[int | None], tags: list[int | None], sets: list[np.ndarray], batch: int) -> pa.RecordBatch:
         manifest = np.zeros(len(ids), _MANIFEST)
         seen: set[tuple[int, int, int]] = set()
         for i, own in enumerate(sets):
             key = (len(own), *digest(own))
-            manifest[i] = (ids[i], *key, len(own) > 0 and key not in seen)
+            manifest[i] = (ids[i] or 0, tags[i] or 0, *key, ids[i] is not None, len(own) > 0 and key not in seen)
             seen.add(key)
         use = [i for i in range(len(ids)) if manifest["first"][i]]
         h = np.concatenate([sets[i] for i in use]) if use else np.zeros(0, np.uint64)
         row = np.repeat(np.array(use, np.uint16), [len(sets[i]) for i in use])
-        block = (((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.uint32)
+        common, held, place = _common(h)
+        to = np.flatnonzero(place >= 0)
+        to = to[np.argsort(place[to], kind="stable")]
+        kept = np.array([len(ids), len(common)], np.int64).tobytes() + manifest.tobytes() + common.tobytes() + held.astype(np.int64).tobytes() + row[to].tobytes()
+        h, row = h[place < 0], row[place < 0]
+        block = _block_of(h, blocks)
         # Stable: within a block the rows ascend, and steps between them are small numbers that compress.
         order = np.argsort(block, kind="stable")
         h, row, block = h[order], row[order], block[order]
         cut = np.searchsorted(block, np.arange(blocks + 1))
-        keys = np.ascontiguousarray((h & _KEY).view(np.uint8).reshape(-1, 8)[:, :6])
-        filled = np.flatnonzero(cut[1:] > cut[:-1])
-        blobs = [keys[cut[b] : cut[b + 1]].tobytes() + _steps(row[cut[b] : cut[b + 1]]) for b in filled]
+        # Common n-grams ascend, and so do their blocks.
+        cut_common = np.searchsorted(_block_of(common, blocks), np.arange(blocks + 1))
+        filled = np.flatnonzero((cut[1:] > cut[:-1]) | (cut_common[1:] > cut_common[:-1]))
+        blobs = []
+        for b in filled:
+            own, often = slice(cut[b], cut[b + 1]), slice(cut_common[b], cut_common[b + 1])
+            blobs.append(int(often.stop - often.start).to_bytes(4, "little") + _key_bytes(h[own]) + _steps(row[own]) + _key_bytes(common[often]) + held[often].astype(np.uint32).tobytes())
         where = [*filled.tolist(), -1 - batch]
-        return pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array([batch] * len(where), pa.int64()), pa.array([*blobs, manifest.tobytes()], pa.binary())], schema=_DEALT)
+        return pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array([batch] * len(where), pa.int64()), pa.array([*blobs, kept], pa.binary())], schema=_DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 24
-        serial, ids, sets, entries = 0, [], [], 0
+        serial, ids, tags, sets, entries = 0, [], [], [], 0
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            data, offs = K.buffer_of(batch.column(1))
+            own, own_tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            data, offs = K.buffer_of(batch.column(2))
             for a, b in K.steps(offs):
                 ids += own[a:b]
+                tags += own_tags[a:b]
                 new = K.shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], WIDTH)
                 sets += new
                 entries += sum(map(len, new))
                 if entries >= FLUSH_ENTRIES or len(ids) >= FLUSH_ROWS:
-                    yield out(ids, sets, first + serial)
-                    serial, ids, sets, entries = serial + 1, [], [], 0
+                    yield out(ids, tags, sets, first + serial)
+                    serial, ids, tags, sets, entries = serial + 1, [], [], [], 0
         if ids:
-            yield out(ids, sets, first + serial)
+            yield out(ids, tags, sets, first + serial)
 
     return run
 
@@ -121,46 +171,64 @@ def _count(key: tuple, dealt: pa.Table) -> pa.Table:
     if block < 0:
         return dealt
     batches, blobs = dealt.column("batch").to_pylist(), dealt.column("blob").to_pylist()
-    sizes = [len(b) // 8 for b in blobs]
-    keys = np.zeros((sum(sizes), 8), np.uint8)
-    rows = np.zeros(sum(sizes), np.uint16)
-    at = 0
-    for blob, n in zip(blobs, sizes, strict=True):
-        keys[at : at + n, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(-1, 6)
-        rows[at : at + n] = _rows(blob, n, 6 * n)
-        at += n
-    keys = keys.view(np.uint64).ravel()
-    _, back, docs = np.unique(keys, return_inverse=True, return_counts=True)
-    docs = docs[back]
-    ends = np.concatenate(([0], np.cumsum(sizes)))
-    out_batches, out_blobs = [], []
-    for k, batch in enumerate(batches):
-        part = slice(ends[k], ends[k + 1])
-        keep = docs[part] > 1
-        if keep.any():
-            own = np.ascontiguousarray(keys[part][keep].view(np.uint8).reshape(-1, 8)[:, :6])
+    often = [int.from_bytes(b[:4], "little") for b in blobs]
+    sizes = [(len(b) - 4 - 10 * m) // 8 for b, m in zip(blobs, often, strict=True)]
+    total = sum(sizes) + sum(often)
+    keys, weight, at = np.zeros(total, np.uint64), np.ones(total, np.int64), 0
+    for blob, n, m in zip(blobs, sizes, often, strict=True):
+        keys[at : at + n] = _keys(blob, n, 4)
+        keys[at + n : at + n + m] = _keys(blob, m, 4 + 8 * n)
+        weight[at + n : at + n + m] = np.frombuffer(blob, np.uint32, m, 4 + 8 * n + 6 * m)
+        at += n + m
+    _, back = np.unique(keys, return_inverse=True)
+    docs = np.minimum(np.bincount(back, weight), 65535).astype(np.uint16)[back]
+    out_batches, out_blobs, at = [], [], 0
+    for batch, blob, n, m in zip(batches, blobs, sizes, often, strict=True):
+        keep = at + np.flatnonzero(docs[at : at + n] > 1)
+        if len(keep) or m:
+            row = _rows(blob, n, 4 + 6 * n)[keep - at]
+            of = slice(at + n, at + n + m)
             out_batches.append(batch)
-            out_blobs.append(own.tobytes() + _steps(rows[part][keep]) + _bytes(np.minimum(docs[part][keep], 65535).astype(np.uint16)))
+            out_blobs.append(m.to_bytes(4, "little") + _key_bytes(keys[keep]) + _steps(row) + _bytes(docs[keep]) + _key_bytes(keys[of]) + docs[of].tobytes())
+        at += n + m
     return pa.Table.from_arrays([pa.array([block] * len(out_batches), pa.int64()), pa.array(out_batches, pa.int64()), pa.array(out_blobs, pa.binary())], schema=_DEALT)
 
 
-def _assemble(share: tuple[int, int]):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("grams", pa.binary())])
+def _assemble(share: tuple[int, int], blocks: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("grams", pa.binary())])
+
+    def number(block: np.ndarray | int, key: np.ndarray) -> np.ndarray:
+        """An n-gram's number: its block above the bits that tell it apart within the block."""
+        return key | np.asarray(block % 65536, np.uint64) << np.uint64(48)
 
     def run(back: pa.Table) -> pa.Table:
         """The rows of one batch, with the shared n-grams of those that may link, fewest documents first."""
-        manifest, row, docs, gram = None, [], [], []
+        manifest, row, docs, gram = np.zeros(0, _MANIFEST), [], [], []
+        often, often_docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
+        common = held = np.zeros(0, np.uint64)
+        common_row = np.zeros(0, np.uint16)
         for block, blob in zip(back.column("block").to_pylist(), back.column("blob").to_pylist(), strict=True):
             if block < 0:
-                manifest = np.frombuffer(blob, _MANIFEST)
+                rows, m = np.frombuffer(blob, np.int64, 2)
+                manifest = np.frombuffer(blob, _MANIFEST, rows, 16)
+                at = 16 + rows * _MANIFEST.itemsize
+                common, held = np.frombuffer(blob, np.uint64, m, at), np.frombuffer(blob, np.int64, m, at + 8 * m)
+                common_row = np.frombuffer(blob, np.uint16, -1, at + 16 * m)
                 continue
-            n = len(blob) // 10
-            row.append(_rows(blob, n, 6 * n))
-            docs.append(np.frombuffer(blob, np.uint8, n, 8 * n) + (np.frombuffer(blob, np.uint8, n, 9 * n).astype(np.uint16) << np.uint16(8)))
-            # An n-gram's number: its block above the bits that tell it apart within the block.
-            key = np.zeros((n, 8), np.uint8)
-            key[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(-1, 6)
-            gram.append(key.view(np.uint64).ravel() | np.uint64(block % 65536) << np.uint64(48))
+            m = int.from_bytes(blob[:4], "little")
+            n = (len(blob) - 4 - 8 * m) // 10
+            row.append(_rows(blob, n, 4 + 6 * n))
+            docs.append(np.frombuffer(blob, np.uint8, n, 4 + 8 * n) + (np.frombuffer(blob, np.uint8, n, 4 + 9 * n).astype(np.uint16) << np.uint16(8)))
+            gram.append(number(block, _keys(blob, n, 4)))
+            often.append(number(block, _keys(blob, m, 4 + 10 * n)))
+            often_docs.append(np.frombuffer(blob, np.uint16, m, 4 + 10 * n + 6 * m))
+        if len(common):
+            # What the blocks counted of the common n-grams meets their rows.
+            own, order = number(_block_of(common, blocks), common & _KEY), np.argsort(np.concatenate(often))
+            count = np.concatenate(often_docs)[order][np.searchsorted(np.concatenate(often)[order], own)]
+            row.append(common_row)
+            docs.append(np.repeat(count, held))
+            gram.append(np.repeat(own, held))
         grams: list[bytes | None] = [None] * len(manifest)
         if row:
             row_, docs_, gram_ = np.concatenate(row), np.concatenate(docs), np.concatenate(gram)
@@ -171,13 +239,14 @@ def _assemble(share: tuple[int, int]):
                 n, some = int(manifest["n"][i]), int(count[i])
                 if n - some < prefix_length(n, share):
                     grams[i] = gram_[end[i] - some : end[i]].tobytes()
-        return pa.Table.from_arrays([*[pa.array(np.ascontiguousarray(manifest[c])) for c in ("doc_id", "n", "d1", "d2")], pa.array(grams, pa.binary())], schema=schema)
+        ids = pa.array(np.ascontiguousarray(manifest["doc_id"]), mask=~manifest["known"])
+        return pa.Table.from_arrays([ids, *[pa.array(np.ascontiguousarray(manifest[c])) for c in ("tag", "n", "d1", "d2")], pa.array(grams, pa.binary())], schema=schema)
 
     return run
 
 
 def _ties(share: tuple[int, int]):
-    """Rows (cid, n, grams) to (kind, a, b): ties a-b between rows here (0), and n-gram a's smallest row b here (1)."""
+    """Rows (node, n, grams) to (kind, a, b): ties a-b between rows here (0), and n-gram a's smallest row b here (1)."""
 
     def out(ids: list[np.ndarray], grams: list[np.ndarray]) -> pa.RecordBatch:
         cid = np.concatenate(ids) if ids else np.zeros(0, np.int64)
@@ -242,14 +311,14 @@ def _least_reached(linked: np.ndarray) -> np.ndarray:
 
 
 def _multiply(share: tuple[int, int]):
-    schema = pa.schema([("cid", pa.int64()), ("d1", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(task: pa.Table) -> pa.Table:
         """One task: groups that fit as a whole, or two blocks of a large one (side 0 against side 1)."""
-        t = {c: task.column(c).to_numpy() for c in ("cid", "d1", "n", "copies", "label", "side")}
+        t = {c: task.column(c).to_numpy() for c in ("node", "n", "copies", "label", "side")}
         blobs = task.column("grams").to_pylist()
-        links, root = np.zeros(len(blobs), np.int64), t["cid"].copy()
-        order = np.lexsort((t["d1"], t["cid"], t["label"]))
+        links, root = np.zeros(len(blobs), np.int64), t["node"].copy()
+        order = np.lexsort((t["node"], t["label"]))
         new = np.flatnonzero(np.append(True, t["label"][order][1:] != t["label"][order][:-1]))
         for a, b in zip(new, [*new[1:], len(order)], strict=True):
             own = order[a:b]
@@ -263,15 +332,16 @@ def _multiply(share: tuple[int, int]):
             if side.any():
                 linked &= side[:, None] != side[None, :]
             links[own] = linked @ t["copies"][own]
-            root[own] = t["cid"][own][_least_reached(linked)]
-        return pa.Table.from_arrays([pa.array(t["cid"]), pa.array(t["d1"]), pa.array(links), pa.array(root)], schema=schema)
+            root[own] = t["node"][own][_least_reached(linked)]
+        return pa.Table.from_arrays([pa.array(t["node"]), pa.array(links), pa.array(root)], schema=schema)
 
     return run
 
 
-def _tasks(rows: DataFrame) -> DataFrame:
-    """rows (label, cid, d1, n, copies, grams) with task and side; rows of large groups once for each task."""
-    step = math.log(SHARE[1] / SHARE[0])
+def _tasks(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """rows (label, node, n, copies, grams) with task and side; rows of large groups once for each task."""
+    # Sizes of documents that link differ by `share` at most, so by one level.
+    step = max(math.log(share[1] / share[0]) * (1 + 1e-9), 0.05)
     rows = rows.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int"))
     sizes = rows.groupBy("label", "level").agg(F.count("*").alias("m")).groupBy("label").agg(F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("parts")))).alias("parts"))
     sizes = materialize(sizes, "group-sizes")
@@ -287,38 +357,53 @@ def _tasks(rows: DataFrame) -> DataFrame:
     same = F.transform(count(parts(level)), lambda k: F.struct(name(level, F.least(own, k), level, F.greatest(own, k)).alias("task"), (own > k).cast("int").alias("side")))
     above = F.transform(count(parts(level + 1)), lambda k: F.struct(name(level, own, level + 1, k).alias("task"), F.lit(0).alias("side")))
     below = F.transform(count(parts(level - 1)), lambda k: F.struct(name(level - 1, k, level, own).alias("task"), F.lit(1).alias("side")))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("cid", "d1"), F.greatest(parts(level), F.lit(1))).cast("int"))
-    return rows.withColumn("to", F.explode(F.when(F.col("m") <= BLOCK_ROWS, whole).otherwise(F.concat(same, above, below)))).select("to.task", "to.side", "label", "cid", "d1", "n", "copies", "grams")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.greatest(parts(level), F.lit(1))).cast("int"))
+    return rows.withColumn("to", F.explode(F.when(F.col("m") <= BLOCK_ROWS, whole).otherwise(F.concat(same, above, below)))).select("to.task", "to.side", "label", "node", "n", "copies", "grams")
+
 
+def join(docs: DataFrame, share: tuple[int, int] = SHARE, tag: Column | None = None) -> DataFrame:
+    """doc_id, tag, n_shingles, component_id, n_links, group_id of every row.
 
-def join(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row: the smallest doc_id that links lead to, and how many other rows link."""
+    component_id: the smallest doc_id that links lead to; n_links: how many other rows link;
+    group_id: a number that the rows of a component share and no other has (null where nothing
+    links), another on each run. tag: a number by which the caller knows a row.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    partitions = shuffle_partitions(spark)
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Entries are dealt evenly by hash; the number of column blocks follows the shuffle partitions.
-    dealt = known.mapInArrow(_deal(max(64, 4 * partitions)), "block long, batch long, blob binary")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(0) if tag is None else tag).cast("long").alias("tag"), "text")
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()["size"]
+    blocks = max(64, -(-size // BLOCK_BYTES))
+    dealt = known.mapInArrow(_deal(blocks), "block long, batch long, blob binary")
     back = dealt.groupBy("block").applyInArrow(_count, "block long, batch long, blob binary")
-    rows = back.groupBy("batch").applyInArrow(_assemble(share), "doc_id long, n long, d1 long, d2 long, grams binary")
+    rows = back.groupBy("batch").applyInArrow(_assemble(share, blocks), "doc_id long, tag long, n long, d1 long, d2 long, grams binary")
     rows = materialize(rows, "incidence")
-    classes = rows.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.max("grams").alias("grams"))
-    classes = materialize(classes.where("copies > 1 or grams is not null"), "classes")
-    may = classes.where("grams is not null").select("cid", "d1", "n", "copies", "grams")
-    ties = materialize(may.select("cid", "n", "grams").mapInArrow(_ties(share), "kind int, a long, b long"), "ties")
+    before = len(written(spark))
+    classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.max("grams").alias("grams"))
+    # A class gets its number as it is written, so it has the same one wherever it is read.
+    classes = materialize(classes.where("copies > 1 or grams is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
+    may = classes.where("grams is not null").select("node", "n", "copies", "grams")
+    ties = materialize(may.select("node", "n", "grams").mapInArrow(_ties(share), "kind int, a long, b long"), "ties")
     hubs = ties.where("kind = 1")
     least = hubs.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most")).where("least < most").select("a", "least")
     edges = ties.where("kind = 0").select("a", "b").union(hubs.join(least, "a").where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b")))
     groups = components(edges)
-    tied = materialize(may.join(groups.select(F.col("node").alias("cid"), "label"), "cid"), "tied")
-    found = materialize(_tasks(tied).groupBy("task").applyInArrow(_multiply(share), "cid long, d1 long, links long, root long"), "links")
-    linked = components(found.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    degree = found.groupBy("cid", "d1").agg(F.sum("links").alias("links"))
-    result = classes.select("n", "d1", "d2", "cid", "copies").join(degree, ["cid", "d1"], "left")
-    result = result.join(linked.select(F.col("node").alias("cid"), "label"), "cid", "left")
-    own_links = F.coalesce("links", F.lit(0)) + F.when(F.col("n") > 0, F.col("copies") - 1).otherwise(0)
-    result = materialize(result.select("n", "d1", "d2", F.coalesce("label", "cid").alias("component"), own_links.alias("links")), "class-links")
-    out = rows.select("doc_id", "n", "d1", "d2").join(result, ["n", "d1", "d2"], "left")
-    # Texts without n-grams share a digest but link with nothing.
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
-    return out
+    tied = materialize(may.join(groups.select("node", "label"), "node"), "tied")
+    found = materialize(_tasks(tied, share).groupBy("task").applyInArrow(_multiply(share), "node long, links long, root long"), "links")
+    linked = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    degree = found.groupBy("node").agg(F.sum("links").alias("links"))
+    result = classes.select("node", "n", "d1", "d2", "cid", "copies").join(degree, "node", "left")
+    result = result.join(linked.select("node", "label"), "node", "left").withColumn("group_id", F.coalesce("label", "node"))
+    result = materialize(result, "class-links")
+    # Classes that stand alone are their own component; only linked ones look for its smallest id.
+    least_id = result.where("label is not null").groupBy("group_id").agg(F.min("cid").alias("component"))
+    result = result.join(least_id, "group_id", "left").select("n", "d1", "d2", "copies", "group_id", F.coalesce("component", "cid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    result = materialize(result, "class-components")
+    delete(spark, written(spark)[before:-1])
+    # The classes of most copies, at most MOST_COPIED rows, go to all tasks, so that no task gets all copies of one.
+    key = ["n", "d1", "d2"]
+    copied = F.broadcast(result.orderBy(F.desc("copies"), *key).limit(MOST_COPIED))
+    slim = rows.drop("grams")
+    some = slim.where("n > 0").join(copied.select(*key), key, "left_anti").join(result, key, "left")
+    wordless = slim.where("n = 0").select("*", *[F.lit(None).cast("long").alias(c) for c in ("copies", "group_id", "component", "links")])
+    out = some.unionByName(slim.join(copied, key)).unionByName(wordless)
+    return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "group_id")

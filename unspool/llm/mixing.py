@@ -8,11 +8,13 @@ one after the other, and the time at which the demand reaches the middle of a do
 the document's training position. The mix is the documents range-sorted by position.
 
 Running sums are made in two levels, over hashed buckets of a source and then within a bucket, so
-no task sees a whole source. Only ids, sources and sizes are shuffled, never texts.
+no task sees a whole source. Only ids, sources and sizes are shuffled; texts or other columns that
+the caller keeps go once to their place and once more to the order of positions. `copies` gives a
+row for each time that a document is taken, in training order.
 
 Defined results: a null text has size 0 and nothing is taken of it; a null source is one source,
 last in the order; repeated rows are counted one by one (rows with the same id share an order, ties
-going to the larger size first); where all sizes are 0 every target is 0; an empty table gives an
+going to the larger size first); a text of any length is counted whole; where all sizes are 0 every target is 0; an empty table gives an
 empty result. Columns named like the results are replaced.
 """
 
@@ -30,6 +32,9 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHAPES = (((0.0, 1.6), (0.5, 1.0), (1.0, 0.4)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.4), (0.5, 1.0), (1.0, 1.6)))
 
 
+_RESULTS = ("doc_id", "source", "size", "source_size", "target", "taken", "positions", "position")
+
+
 def size_of(text: Column) -> Column:
     """Number of words: maximal runs without white space."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -54,44 +59,62 @@ def invert(share: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     return out.otherwise(F.lit(knots[-1][0]))
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """sources with rank, their place by code point, null last: each range of names is numbered alone, after those of the ranges before."""
+    spark = sources.sparkSession
+    order = [F.col("source").isNull(), F.col("source").cast("binary")]
+    ranged = sources.repartitionByRange(shuffle_partitions(spark), *order).withColumn("part", F.spark_partition_id())
+    ranged = materialize(ranged, "mix-sources")
+    # One number for each range reaches the driver, never one for each source.
+    counts = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}
+    before, at = [], 0
+    for part in sorted(counts):
+        before += [F.lit(part), F.lit(at)]
+        at += counts[part]
+    start = F.element_at(F.create_map(*before), F.col("part")) if before else F.lit(0)
+    return ranged.withColumn("rank", (F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1 + start).cast("int")).drop("part")
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, ceiling: float = 2.0, shapes: tuple = SHAPES) -> DataFrame:
     """One row per source: its place, weight and target.
 
-    sources: (source, source_size), a row for each. The sources are sorted in one task: there is
-    one row for each, not for each document. A target stops at `ceiling` times its source's size;
-    what it leaves goes to the others by weight. The level of targets per weight at which all is
-    given out is found in one pass: sources fill up in the order of ceiling by weight.
+    sources: (source, source_size), a row for each. A target stops at `ceiling` times its source's
+    size; what it leaves goes to the others by weight. The level of targets per weight at which all
+    is given out only rises as sources fill up, so it is found by a few sums over all sources.
     """
-    # A window over all sources has one partition; the schedules' areas scale the weights.
-    place = W.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
+    # The schedules' areas scale the weights.
     area = F.element_at(F.array(*[F.lit(integrate(s)) for s in shapes]), F.col("rank") % len(shapes) + 1)
-    ranked = sources.withColumn("rank", (F.row_number().over(place) - 1).cast("int"))
-    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("rank") % len(weights) + 1) * area)
-    fills = W.partitionBy(F.lit(0)).orderBy(F.col("most") / F.col("weight"), "rank")
-    before = fills.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy(F.lit(0))
-    ranked = ranked.withColumn("most", F.col("source_size") * ceiling)
-    ranked = ranked.withColumn("budget", F.sum("source_size").over(everything) * share)
-    ranked = ranked.withColumn("level", (F.col("budget") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    # The first source in this order that stays under its ceiling fixes the level for all after it.
-    open_ = F.when(F.col("weight") * F.col("level") < F.col("most"), F.struct((F.col("most") / F.col("weight")).alias("at"), F.col("rank").alias("rank"), F.col("level").alias("level")))
-    ranked = ranked.withColumn("final", F.min(open_).over(everything)["level"])
-    target = F.coalesce(F.least(F.col("most"), F.col("weight") * F.col("final")), F.col("most"))
+    own = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("rank") % len(weights) + 1) * area
+    ranked = materialize(_ranked(sources).withColumn("weight", own).withColumn("most", F.col("source_size") * F.lit(float(ceiling))), "mix-ranks")
+    total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size")).first()["size"] * share
+    level, full = None, -1
+    while True:
+        # Full are the sources whose ceiling is under the level; the others share what those leave.
+        is_full = F.lit(False) if level is None else F.col("weight") * F.lit(level) >= F.col("most")
+        sums = ranked.agg(F.count_if(is_full).alias("full"), F.sum(F.when(is_full, F.col("most"))).alias("given"), F.sum(F.when(~is_full, F.col("weight"))).alias("open")).first()
+        if sums["full"] == full or not sums["open"]:
+            break
+        level, full = (total - (sums["given"] or 0.0)) / sums["open"], sums["full"]
+    target = F.col("most") if level is None or not sums["open"] else F.least(F.col("most"), F.col("weight") * F.lit(level))
     return ranked.select("source", "source_size", "rank", "weight", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, ceiling: float = 2.0, shapes: tuple = SHAPES, buckets: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, ceiling: float = 2.0, shapes: tuple = SHAPES, buckets: int = 0, keep: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, positions and (the first of them) position of every row of docs, range-sorted by position.
 
-    buckets: hashed parts of each source for the running sums; by default four for each shuffle partition.
+    keep: further columns of docs to return, and source with them, such as the text. buckets:
+    hashed parts of each source for the running sums; by default four for each shuffle partition.
     """
+    keep = [c for c in keep or [] if c not in _RESULTS]
     spark = docs.sparkSession
     buckets = buckets or 4 * shuffle_partitions(spark)
     order = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
     # The first 28 bits of the key choose the bucket, so the order of buckets is the order of keys.
     first = F.coalesce(F.conv(F.substring(order, 1, 7), 16, 10).cast("long"), F.lit(0))
-    sizes = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    sizes = materialize(sizes.withColumns({"key": order, "bucket": F.shiftright(first * F.lit(buckets), 28).cast("int")}), "mix-sizes")
+    sizes = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *([F.struct(*keep).alias("kept"), F.monotonically_increasing_id().alias("row")] if keep else []))
+    # A row gets its number as it is written, so it has the same one wherever it is read.
+    whole = materialize(sizes.withColumns({"key": order, "bucket": F.shiftright(first * F.lit(buckets), 28).cast("int")}), "mix-sizes")
+    sizes = whole.drop("kept") if keep else whole.withColumn("row", F.lit(0))
     parts = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     parts = materialize(parts, "mix-buckets")
     goal = targets(parts.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, ceiling, shapes)
@@ -99,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     parts = parts.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(within), F.lit(0)))
     starts = parts.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.source", "bucket", "bucket_start", "source_size", "rank", "target")
     # The start of each bucket meets its documents by an ordinary join: both grow with the input.
-    rows = sizes.alias("s").join(starts.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.bucket") == F.col("b.bucket"))).select("doc_id", "key", "size", "s.bucket", "rank", "bucket_start", "source_size", "target")
+    rows = sizes.alias("s").join(starts.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.bucket") == F.col("b.bucket"))).select("doc_id", "s.source", "row", "key", "size", "s.bucket", "rank", "bucket_start", "source_size", "target")
     inner = W.partitionBy("rank", "bucket").orderBy("key", F.desc("size"), "doc_id").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("begin", F.col("bucket_start") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     # Whole rounds of the source first, then the part of a round that is left.
@@ -119,7 +142,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
     rows = rows.withColumns({"taken": taken, "copies": rounds.cast("int") + (last > 0).cast("int"), "rounds": rounds})
     times = F.when((F.col("copies") > 0) & (F.col("size") > 0), F.transform(F.sequence(F.lit(0), F.col("copies") - 1), time)).otherwise(F.array().cast("array<double>"))
-    out = rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", times.alias("positions"))
+    out = rows.select("row", "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", times.alias("positions"))
     # What the mix doesn't take stands at the end.
     out = out.withColumn("position", F.coalesce(F.get("positions", F.lit(0)), F.lit(1.0)))
+    if keep:
+        out = out.join(whole.select("row", "kept"), "row").select("doc_id", "source", "kept.*", *[c for c in _RESULTS if c not in ("doc_id", "source")])
+    else:
+        out = out.drop("row", "source")
     return out.repartitionByRange(shuffle_partitions(spark), "position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+def copies(mixed: DataFrame) -> DataFrame:
+    """The curriculum: a row for each time that mix() takes a document, with copy (from 1), words (what that copy gives) and its position, range-sorted by position.
+
+    The last copy may be a part of the document: its first `words` words.
+    """
+    other = [c for c in mixed.columns if c not in ("positions", "position")]
+    each = mixed.select(*other, F.posexplode("positions").alias("copy", "position")).withColumn("copy", F.col("copy") + 1)
+    # Whole copies give all words; the last gives what is left of those taken.
+    each = each.withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
+    return each.repartitionByRange(shuffle_partitions(mixed.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")

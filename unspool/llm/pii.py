@@ -21,14 +21,17 @@ table gives an empty result. Columns beside text and n_chars pass through.
 
 from __future__ import annotations
 
+import secrets
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unspool.llm.common import LOWER, UPPER, materialize
 
 INLINE_RETRIES = 2_000
+#: Random keys by application.
+_own_keys: dict[str, str] = {}
 _OCTET = "(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)"
 #: Titles by gender; the script of the name decides the list that it is drawn from.
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Госпожа"
@@ -262,7 +265,13 @@ def _rewritten(docs: DataFrame, key: str, attempt_of) -> DataFrame:
     return docs.withColumn("n_entities", F.coalesce(F.size("__new"), F.lit(0))).withColumn("text", text).drop("__new")
 
 
-def pseudonymize(docs: DataFrame, key: str = "unspool") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key in spark.unspool.pii.key; where none is set a random one, which nobody keeps, for this application."""
+    app = spark.sparkContext.applicationId
+    return spark.conf.get("spark.unspool.pii.key", None) or _own_keys.setdefault(app, secrets.token_hex(32))
+
+
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """docs with every entity in `text` replaced, and n_entities, the number of mentions.
 
     key: the secret of the replacements; without it they can't be traced back or made again.

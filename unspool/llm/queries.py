@@ -32,7 +32,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("tag", "group_id")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,29 +79,36 @@ def test_leaks_equal_a_plain_search(spark):
         assert got[r.doc_id] == {i for i, g in own.items() if g and len(g & mine) >= 0.5 * len(g)}
 
 
-def test_bounds_lose_nothing():
-    """Every passage whose exact score reaches the threshold is among those the bounds let through."""
+@pytest.mark.parametrize("n,vocabulary,dense", [(60, 300, 1 << 21), (60, 300, 40), (2000, 30_000, 1)])
+def test_bounds_lose_nothing(monkeypatch, n, vocabulary, dense):
+    """What the walk retrieves is every item whose BM25 share, counted plainly, reaches the threshold in a passage."""
+    import math
     import random
+    from collections import Counter
 
+    monkeypatch.setattr(decontaminate, "_DENSE", dense)
     rng = random.Random(2)
-    words = [f"w{k}" for k in range(300)]
-    items = [(k, " ".join(rng.choices(words, k=rng.randrange(5, 40))) + ". " + " ".join(rng.choices(words, k=4))) for k in range(60)]
+    words = [f"w{k}" for k in range(vocabulary)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randrange(5, 40))) + ". " + " ".join(rng.choices(words, k=4))) for k in range(n)]
     docs = []
     for _ in range(150):
         text = rng.choices(words, k=rng.randrange(1, 200))
         if rng.random() < 0.5:
-            part = items[rng.randrange(60)][1].split()
+            part = items[rng.randrange(n)][1].replace(".", "").split()
             text[rng.randrange(len(text)) :] = part[rng.randrange(len(part) // 2) :]
         docs.append(" ".join(text))
     index = decontaminate.build(items, threshold=0.5, overlap=0.0)
-    got = decontaminate.search(index, pa.array(docs))
-    by_hash = {i.item_id: i for i in index.items}
+    got = decontaminate.search([index], pa.array(docs))
+    own = {k: Counter(t.replace(".", "").split()) for k, t in items}
+    df = Counter(w for c in own.values() for w in c)
+    mean = sum(sum(c.values()) for c in own.values()) / n
+    weight = {k: {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, f in c.items()} for k, c in own.items()}
     for text, found in zip(docs, got, strict=True):
-        h = decontaminate.hashed_words(*_buffer(text))[1].tolist()
+        w = text.split()
         want = set()
-        for a in range(0, max(1, len(h)), index.stride):
-            known = set(h[a : a + 2 * index.stride])
-            want |= {k for k, i in by_hash.items() if sum(x for w, x in i.weight.items() if w in known) >= 0.5}
+        for a in range(0, max(1, len(w)), index.stride):
+            known = set(w[a : a + 2 * index.stride])
+            want |= {k for k, x in weight.items() if sum(v for t, v in x.items() if t in known) >= 0.5 * sum(x.values()) - 1e-12}
         assert set(found) == want
 
 
@@ -118,36 +125,43 @@ def test_edited_copies_of_items_equal_a_plain_search(form):
         words = text.split()
         for at, n in ((0, 1), (0, 3), (2, 1), (10, 3), (len(words) - 3, 3), (len(words) - 1, 1), (0, 0), (0, 20)):
             docs.append("filler text before it " + " ".join([*words[:at], *["changed"] * n, *words[at + n :]]) + " and after")
-    got = decontaminate.search(decontaminate.build(items), pa.array(docs))
+    got = decontaminate.search([decontaminate.build(items)], pa.array(docs))
     want = [{k for k, t in items if len(grams(t) & grams(d)) >= 0.5 * len(grams(t))} for d in docs]
     assert [set(x) for x in got] == want and sum(map(len, want)) == 7 * len(items)
 
 
-def _buffer(text):
-    import numpy as np
-
-    data = np.frombuffer(text.encode(), np.uint8)
-    return data, np.array([0, len(data)])
-
-
 def test_odd_items(spark):
-    benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (None, "a b c d e f"), (4, "one two three four five six. seven eight"), (4, "one two three four five six. seven eight")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "x one two three four five six. seven eight y", 5), (3, "filler " * 30_000 + "ONE two three four five six. seven eight", 5), (3, "one", 5)], "doc_id long, text string, hits int")
-    found = decontaminate.indexes(benchmark)
-    rows = docs.select("text", decontaminate.find(found, F.col("text")).alias("h")).collect()
-    assert [[h.item_id for h in r.h] for r in rows] == [[], [], [4], [4], []]
-    empty = decontaminate.indexes(benchmark.limit(0))
-    assert docs.select(F.size(decontaminate.find(empty, F.col("text"))).alias("n")).where("n > 0").count() == 0
+    benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (None, "a b c d e f"), (4, "one two three four five six. seven eight"), (4, "one two three four five six. seven eight"), (5, "Yes"), (6, "Not, now!"), (7, "yes")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "x one two three four five six. seven eight y", 5), (3, "filler " * 30_000 + "ONE two three four five six. seven eight", 5), (3, "one", 5), (4, "He said yes and no. Yes! But not now.", 6), (5, "one\nnot now\ntwo", 6), (6, "Yes.no yes", 6), (7, "a. yes", 6), (8, "Not now. Not", 6)], "doc_id long, text string, hits int")
+    rows = decontaminate.leaks(docs, benchmark).collect()
+    assert [[h.item_id for h in r.hits] for r in rows] == [[], [], [4], [4], [], [5, 7], [6], [], [5, 7], [6]]
+    for few in (benchmark.limit(0), benchmark.where("item_id = 2")):
+        assert decontaminate.leaks(docs, few).where("size(hits) > 0").count() == 0
+    assert decontaminate.leaks(docs.limit(0), benchmark).count() == 0
 
 
-def test_many_indexes(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 7)
-    docs = spark.read.parquet(f"{BIG}/documents.parquet")
-    found = decontaminate.indexes(spark.read.parquet(f"{BIG}/benchmark.parquet"))
-    assert len(found) > 3
-    got = {r.doc_id: [h.item_id for h in r.h] for r in docs.select("doc_id", decontaminate.find(found, F.col("text")).alias("h")).collect()}
+@pytest.mark.parametrize("items,size", [(7, 1 << 20), (1000, 1500)])
+def test_many_indexes(spark, monkeypatch, items, size):
     whole = {r.doc_id: r.item_ids for r in queries.QUERIES["op9_decontaminate"](spark, BIG).collect()}
-    assert got == whole
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", items)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
+    assert len(decontaminate._parts(spark.read.parquet(f"{BIG}/benchmark.parquet"))) > 3
+    assert {r.doc_id: r.item_ids for r in queries.QUERIES["op9_decontaminate"](spark, BIG).collect()} == whole
+
+
+@pytest.mark.parametrize("dense", [1 << 21, 64])
+@pytest.mark.parametrize("cut", [(1, 0), (3, 0), (5, 0), (0, 1), (0, 3), (0, 5), (2, 2)])
+def test_cut_items_are_found(spark, monkeypatch, cut, dense):
+    """Items that lost words at their head or tail, within other text."""
+    monkeypatch.setattr(decontaminate, "_DENSE", dense)
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    other = [r.text for r in spark.read.parquet(f"{BIG}/documents.parquet").limit(40).collect()]
+    texts = []
+    for k, (_, text) in enumerate(items):
+        w = text.split()
+        texts.append(other[k % 40][:400] + "\n" + " ".join(w[cut[0] : len(w) - cut[1]]) + " " + other[(k + 7) % 40][:300])
+    got = decontaminate.search([decontaminate.build(items)], pa.array(texts))
+    assert sum(i in found for (i, _), found in zip(items, got, strict=True)) >= 0.95 * len(items)
 
 
 SAMPLE = [

@@ -111,19 +111,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     order = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
     # The first 28 bits of the key choose the bucket, so the order of buckets is the order of keys.
     first = F.coalesce(F.conv(F.substring(order, 1, 7), 16, 10).cast("long"), F.lit(0))
-    sizes = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *([F.struct(*keep).alias("kept"), F.monotonically_increasing_id().alias("row")] if keep else []))
-    # A row gets its number as it is written, so it has the same one wherever it is read.
-    whole = materialize(sizes.withColumns({"key": order, "bucket": F.shiftright(first * F.lit(buckets), 28).cast("int")}), "mix-sizes")
-    sizes = whole.drop("kept") if keep else whole.withColumn("row", F.lit(0))
-    parts = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    name = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+    named = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *([F.struct(*keep).alias("kept")] if keep else []))
+    named = named.withColumns({"key": order, "bucket": F.shiftright(first * F.lit(buckets), 28).cast("int"), "name": name})
+    sizes = materialize(named.drop("kept"), "mix-sizes")
+    parts = sizes.groupBy("source", "name", "bucket").agg(F.sum("size").alias("bucket_size"))
     parts = materialize(parts, "mix-buckets")
     goal = targets(parts.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, ceiling, shapes)
     within = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(within), F.lit(0)))
-    starts = parts.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.source", "bucket", "bucket_start", "source_size", "rank", "target")
-    # The start of each bucket meets its documents by an ordinary join: both grow with the input.
-    rows = sizes.alias("s").join(starts.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.bucket") == F.col("b.bucket"))).select("doc_id", "s.source", "row", "key", "size", "s.bucket", "rank", "bucket_start", "source_size", "target")
-    inner = W.partitionBy("rank", "bucket").orderBy("key", F.desc("size"), "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("name", "bucket", "bucket_start", "source_size", "rank", "target")
+    # The start of each bucket meets its documents by an ordinary join, as both grow with the input;
+    # the running sums within a bucket keep the join's partitions.
+    rows = (named if keep else sizes).join(starts, ["name", "bucket"])
+    inner = W.partitionBy("name", "bucket").orderBy("key", F.desc("size"), "doc_id").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("begin", F.col("bucket_start") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     # Whole rounds of the source first, then the part of a round that is left.
     goal_words = F.round("target").cast("long")
@@ -142,13 +143,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
     rows = rows.withColumns({"taken": taken, "copies": rounds.cast("int") + (last > 0).cast("int"), "rounds": rounds})
     times = F.when((F.col("copies") > 0) & (F.col("size") > 0), F.transform(F.sequence(F.lit(0), F.col("copies") - 1), time)).otherwise(F.array().cast("array<double>"))
-    out = rows.select("row", "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", times.alias("positions"))
+    out = rows.select("doc_id", *(["source", "kept.*"] if keep else []), "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", times.alias("positions"))
     # What the mix doesn't take stands at the end.
     out = out.withColumn("position", F.coalesce(F.get("positions", F.lit(0)), F.lit(1.0)))
-    if keep:
-        out = out.join(whole.select("row", "kept"), "row").select("doc_id", "source", "kept.*", *[c for c in _RESULTS if c not in ("doc_id", "source")])
-    else:
-        out = out.drop("row", "source")
     return out.repartitionByRange(shuffle_partitions(spark), "position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 

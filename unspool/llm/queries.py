@@ -51,8 +51,7 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.indexes(table(spark, sf_dir, "benchmark"))
-    hits = table(spark, sf_dir, "documents").select("doc_id", decontaminate.find(found, F.col("text")).alias("hits"))
+    hits = decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.col("hits.item_id").alias("item_ids"), F.coalesce(F.array_max("hits.score"), F.lit(0.0)).alias("score"))
 
 

@@ -56,8 +56,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
-    found = decontaminate.indexes(table(spark, sf_dir, "benchmark"))
-    return docs.where(F.size(decontaminate.find(found, F.col("text"))) == 0)
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), column="__hits")
+    return found.where(F.size("__hits") == 0).select(docs.columns)
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,44 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "A paragraph of some length, with marks; it goes on, and on, as prose does."
+MORE = "Another one follows it, not shorter, and with marks of its own: as many."
+MENU = "<ul>" + "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(8)) + "</ul>"
+SHAPES = {
+    "menu and content without names": (f"<body><div>{MENU}</div><div><h1>T</h1><p>{LONG}</p><p>{MORE}</p></div><div>c 2020 Firm</div></body>", ["T", LONG, MORE]),
+    "content in sections of unlike length": (f"<body><div>{MENU}</div><div><h1>T</h1><p>{LONG}</p><div><p>{MORE}</p><p>{LONG}</p><p>{MORE}</p><p>{LONG}</p></div></div></body>", ["T", LONG, MORE, LONG, MORE, LONG]),
+    "short blocks between long ones": (f"<body>{MENU}<div><p>{LONG}</p><p>No.</p><ul><li>one</li><li>two</li></ul><h2>Sub</h2><p>{MORE}</p></div></body>", [LONG, "No.", "one", "two", "Sub", MORE]),
+    "names that lower": (f"<body><div class=sidebar><p>Read this as well, you may like it.</p></div><div id=content><p>{LONG}</p><p>{MORE}</p></div><div class=footer><p>All rights, reserved.</p></div></body>", [LONG, MORE]),
+    "tables as layout": (f"<table><tr><td>{MENU}</td><td><p>{LONG}</p><p>{MORE}</p></td></tr></table>", [LONG, MORE]),
+    "breaks instead of paragraphs": (f"<body><div><a href=a>Home</a> <a href=b>News</a></div><div>{LONG}<br>{MORE}</div></body>", [f"{LONG} {MORE}"]),
+    "exact names of comments and notices": (f"<body><div class='cookie-notice'><p>{MORE}</p></div><div><p>{LONG}</p><p>{LONG}</p></div><div id=comments><p>{MORE}</p><p>{MORE}</p><p>{MORE}</p></div></body>", [LONG, LONG]),
+    "formula and named blocks in an article": (f"<article><p>{LONG}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><div class=legal><p>{MORE}</p></div><div class=related-work><p>{MORE}</p></div><div class=search-engines><p>{LONG}</p></div></article>", [LONG, "Let x=1 be.", MORE, MORE, LONG]),
+    "article in main among other things": (f"<main><h1>Site</h1><div>{MENU}</div><article><h2>T</h2><p>{LONG}</p><p>{MORE}</p></article></main><footer><p>{LONG}</p></footer>", ["T", LONG, MORE]),
+    "several articles": (f"<body><p>Latest</p><article><p>{LONG}</p></article><article><p>{MORE}</p></article><div>{MENU}</div></body>", [LONG, MORE]),
+    "a quotation and code": (f"<body><nav>{MENU}</nav><div><p>{LONG}</p><blockquote><p>Said so.</p></blockquote><pre>x = 1</pre><p>{MORE}</p></div></body>", [LONG, "Said so.", "x = 1", MORE]),
+    "links within prose": (f"<body><div>{MENU}</div><div><p>{LONG} See <a href=x>there</a>.</p><p>{MORE}</p></div></body>", [f"{LONG} See there.", MORE]),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_shapes_of_pages(shape):
+    page, parts = SHAPES[shape]
+    assert html_text.main_text(page).split("\n\n") == parts
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<p" * 500_000, "<div>" * 200_000 + "x", "<div>" * 100_000 + "</b>" * 100_000 + "x", "<b>" * 60_000 + "<p>x" * 60_000, "<a \"" * 200_000 + ">", "<a '>'" * 200_000, "<article>" * 30_000 + "x, y." * 10, "<!--" * 300_000, "<li><b>" * 60_000 + "x", "<" * 500_000, "<p>x" * 100_000, "&amp" * 200_000, "<p><div><b>" * 40_000, "<a \">\"" * 100_001, "<script>" * 100_000, "<p class='" + "a " * 300_000 + "'>x"],
+    ids=range(16),
+)
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 6
+
+
 @pytest.mark.parametrize("name", "discussion related related-work feedback legal search search-methods side tags share menu menus login nav comments alert reply disclaimer".split())
 @pytest.mark.parametrize("inner", ["<section id='{}'><h2>Head</h2><p>Body of it, with marks.</p></section>", "<h2 id='{}'>Head</h2><p>Body of it, with marks.</p>", "<div id='{}' class='section level2'><h2>Head</h2><p>Body of it, with marks.</p></div>", "<h2>Head</h2><p class='{}'>Body of it, with marks.</p>"])
 def test_names_within_an_article_keep_its_text(name, inner):

@@ -247,7 +247,7 @@ def test_collisions_are_resolved(spark, monkeypatch, inline):
     monkeypatch.setattr(pii, "SYLLABLES", {k: v[:3] for k, v in pii.SYLLABLES.items()})
     names = [f"Mr {a}{b}" for a in ("Xa", "Xe", "Xi", "Xo", "Xu") for b in ("bor", "dan", "fil", "gur", "hem", "kol", "lim", "mus")]
     docs = spark.createDataFrame([(k, f"{n} saw {names[(k + 1) % len(names)]}.") for k, n in enumerate(names)], "doc_id long, text string")
-    entities = pii.entities(docs)
+    entities = pii.entities(docs.withColumn("__parts", pii.parts_of(F.col("text"))))
     assert entities.count() == 40 and pii.later_candidates(entities, "k").count() > 0
     seen = {}
     for r in pii.pseudonymize(docs, "k").collect():
@@ -267,13 +267,60 @@ def test_more_entities_than_replacements_of_their_form(spark):
     assert all(re.fullmatch(r"[a-z]@(?:[a-z]+\.)?example\.com", new[k]) for k in range(len(mails)))
 
 
-@pytest.mark.parametrize("kind,norm,form", [("email", "a@x.com", r"[a-z]@[a-z]{4}\.example\.com"), ("male", "Bob", r"[A-Z][a-z]{23}"), ("phone", "12345", r"\d{9}"), ("card", "4111111111111111", r"4\d{19}"), ("ip", "1.2.3.4", r"2001:db8(?::[0-9a-f]{4}){6}"), ("national_id", "123456789", r"\d{13}"), ("secret", "......1", r"\.{6}\d[0-9a-f]{4}")])
+@pytest.mark.parametrize("kind,norm,form", [("email", "a@x.com", r"[a-z]@[a-z]{4}\.example\.com"), ("last", "bob", r"[A-Z][a-z]{23}"), ("male", "bob", r"[A-Z][a-z]{2,6}(?:[a-z]{3}){7}"), ("phone", "12345", r"\d{9}"), ("card", "4111111111111111", r"4\d{19}"), ("ip", "1.2.3.4", r"2001:db8(?::[0-9a-f]{4}){6}"), ("national_id", "123456789", r"\d{13}"), ("secret", "......1", r"\.{6}\d[0-9a-f]{4}")])
 def test_candidates_grow(spark, kind, norm, form):
     attempt = 4 + (pii.OWN_FORM_NUMBERS if kind in pii._NUMBERS else pii.OWN_FORM)
     rows = spark.range(200).select(pii.surrogate("k", F.lit(kind), F.lit(norm), (F.col("id") * 0 + attempt).cast("int")).alias("one"), pii.surrogate("k", F.lit(kind), F.concat(F.lit(norm), F.lit("")), (F.col("id") + attempt).cast("int")).alias("many")).collect()
     assert all(re.fullmatch(form, r.one) for r in rows) and len({r.many for r in rows}) > 100
 
 
+def rewritten(spark, texts, key="k"):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pii.pseudonymize(docs, key).orderBy("doc_id").collect()]
+
+
+def test_coreference(spark):
+    """Names by their parts, in any case and without a title; numbers with and without +1."""
+    a, b, c, d, e = rewritten(spark, ["Mrs Mary Jones met Mr. Jones; Mary Jones left, Ms JONES too. Mary Jonesy stays.", "Mr Jones and Mr Mary Jones-Brown", "+1 (269) 555-3296", "call 269-555-3296 or (269) 555 3296", "+49 269 555 3296"])
+    first, last = re.match(r"Mrs (\w+) (\w+) met", a).groups()
+    assert a == f"Mrs {first} {last} met Mr. {last}; {first} {last} left, Ms {last.upper()} too. Mary Jonesy stays."
+    assert b.startswith(f"Mr {last} and Mr ") and "Jones" not in b + a.replace("Jonesy", "") and first not in b
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert digits(c)[1:] == digits(d)[:10] == digits(d)[10:] and c.startswith("+1 (") and digits(c)[0] == "1"
+    assert digits(e)[-10:] != digits(c)[-10:] and e.startswith("+49 ")
+
+
+def test_scripts_stay(spark):
+    rows = rewritten(spark, ["Mr Παπαδόπουλος", "Κυρία Μαρία Παπαδοπούλου", "Г-жа Мария Иванова", "иван@почта.рф", "νίκος@παράδειγμα.ελ", "Herr Müller", "Mr Սարգսյան"])
+    forms = ["Mr [\u0391-\u03a9][\u03ac-\u03ce]+", "Κυρία [\u0386-\u03ab][\u03ac-\u03ce]+ [\u0391-\u03a9][\u03ac-\u03ce]+", "Г-жа [А-Я][а-я]+ [А-Я][а-я]+", "[\u0430-\u045f]{4}@example.рф", "[\u03ac-\u03ce]{5}@example.ελ", "Herr [A-Z][a-z]+", "Mr [\u0531-\u0556][\u0561-\u0586]{7}"]
+    assert all(re.fullmatch(f, r) for f, r in zip(forms, rows, strict=True)), rows
+
+
+def test_last_names_are_distinct_beyond_any_stock(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", {k: v[:2] for k, v in pii.SYLLABLES.items()})
+    monkeypatch.setattr(pii, "INLINE_RETRIES", 50)
+    letters = "abcdefghij"
+    texts = [f"{'Mr' if (i + j) % 2 else 'Mrs'} {letters[i].upper()}{letters[j]}{letters[k]}o" for i in range(10) for j in range(6) for k in range(4)]
+    new = rewritten(spark, texts)
+    lasts = {t.split()[1]: n.split()[1] for t, n in zip(texts, new, strict=True)}
+    assert len(set(lasts.values())) == len(lasts) == 240 and not set(lasts.values()) & set(lasts)
+    assert all(t.split()[0] == n.split()[0] for t, n in zip(texts, new, strict=True))
+
+
+def test_texts_with_the_mark_and_clashing_columns(spark):
+    mark = pii._MARK
+    texts = [f"a{mark}b bob@x.org{mark} c 123-45-6789", f"{mark}{mark}", "bob@x.org c 123-45-6789", "word " * 60_000 + "bob@x.org"]
+    docs = spark.createDataFrame([(1, t, "x", "y", 3, 4, 5) for t in texts], "doc_id long, text string, __parts string, __kept string, __row int, n_entities int, kind int")
+    out = pii.pseudonymize(docs, "k")
+    rows = {r.n_entities: r for r in out.collect() if r.n_entities != 1}
+    assert out.columns == ["doc_id", "text", "__parts", "__kept", "__row", "kind", "n_entities"] and {r["__row"] for r in rows.values()} == {3}
+    new = {r.text for r in out.collect()}
+    plain = next(t for t in new if re.fullmatch(r"\w+@example.org c [\d-]+", t))
+    mail, number = plain.split(" c ")
+    assert new == {f"a{mark}b {mail}{mark} c {number}", f"{mark}{mark}", plain, "word " * 60_000 + mail}
+    assert pii.pseudonymize(docs.select("text"), "k").columns == ["text", "n_entities"]
+
+
 def test_letters_without_case(spark):
     """They are replaced by others of their script."""
     words = {"李明": "[\u4e00-\u9fa5]{2}", "דוד": "[\u05d0-\u05ea]{3}", "محمد": "[\u0620-\u065f]{4}", "राम७": "", "한국": "[\uac00-\ud7a3]{2}", "ひらカナ": "[\u3041-\u30fa]{4}", "٣٤٥": "[\u0660-\u0669]{3}", "𐤀𐤁": "[a-z]{2}"}

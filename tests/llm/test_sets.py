@@ -52,11 +52,17 @@ def test_fingerprints(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     got = {r.doc_id: r for r in queries.QUERIES["op1_fingerprint"](spark, BIG).collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    errors = []
+    errors, by_id = [], dict(rows)
     for i, n, edited, near_edited, near_next in plain_fingerprints(rows):
         assert (got[i].n_chars, got[i].edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
-        errors += [abs(got[i].near_edited - near_edited), abs(got[i].near_next - near_next)]
-    assert sum(errors) / len(errors) < 0.03
+        size = len(shingles(by_id[i]))
+        errors += [("edited", size, got[i].fingerprint[16] + got[i].edited_fingerprint[16] == "==", abs(got[i].near_edited - near_edited)), ("next", size, False, abs(got[i].near_next - near_next))]
+    # Texts that keep all their shingles are exact; the others by the size of the text.
+    sizes = ((0, 60), (60, 200), (200, 10**9))
+    mean = {(c, lo): sum(found) / len(found) for c in ("edited", "next") for lo, hi in sizes if (found := [e for kind, n, whole, e in errors if kind == c and lo <= n < hi])}
+    print(mean)
+    assert all(e < 1e-9 for _, _, whole, e in errors if whole) and sum(whole for _, _, whole, _ in errors) > 300
+    assert mean["edited", 0] < 0.015 and mean["edited", 60] < 0.03 and mean["edited", 200] < 0.035 and max(mean["next", lo] for lo, _ in sizes) < 0.001
     by_text = {}
     for i, t in rows:
         assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
@@ -89,6 +95,20 @@ def test_sketch_keeps_all_below_the_threshold(spark):
     assert row.c == 1.0 and row.m == sorted(set(row["some"]["kept"]) | set(row["b"]["kept"])) and 100 < len(row["some"]["kept"]) < 260
 
 
+def test_whole_sketches(spark):
+    """Short texts are compared exactly, with long ones by the threshold; merged and contained alike."""
+    short, other, long = "a b c d e f g h i j", "a b c d e f g x i j", " ".join(f"w{k}" for k in range(400)) + " a b c d e f g h i j"
+    row = spark.createDataFrame([(short, other, long, "")], "a string, b string, c string, e string")
+    s = {c: fingerprint.sketch(F.col(c)) for c in "abce"}
+    got = row.select(
+        fingerprint.likeness(s["a"], s["b"]).alias("ab"), fingerprint.containment(s["a"], s["b"]).alias("in_b"), F.size(fingerprint.merge(s["a"], s["b"])).alias("m"),
+        fingerprint.likeness(s["a"], s["c"]).alias("ac"), fingerprint.merge(s["a"], s["c"]).alias("mc"), s["c"]["kept"].alias("c"), fingerprint.likeness(s["a"], s["e"]).alias("ae"), fingerprint.likeness(s["e"], s["e"]).alias("ee"), fingerprint.as_text(s["e"]).alias("text"),
+    ).first()
+    x, y = shingles(short), shingles(other)
+    assert got.ab == len(x & y) / len(x | y) and got.in_b == len(x & y) / len(x) and got.m == len(x | y)
+    assert got.ac < 0.1 and got.mc == got.c and (got.ae, got.ee, got.text) == (0.0, 1.0, "0" * 16 + "=")
+
+
 def plain_targets(sizes, weights=(3, 1, 2)):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[k % 3] for k, s in enumerate(order)}
@@ -287,6 +307,29 @@ def test_urls(spark):
     assert url_rules.judge(pages.limit(0)).count() == 0
 
 
+def test_rules_from_marks_of_documents(spark):
+    """Labels of both kinds: URLs that no list judges get what their tokens imply."""
+    rng = random.Random(5)
+    rows = [(k, f"http://{'shop' if k % 2 else 'news'}{rng.randrange(3)}.net/{'buy' if k % 2 else 'read'}/{k}") for k in range(200)] + [(900, "http://a.net/buy/x"), (901, "http://a.net/read/x"), (902, "http://x.org/buy/1"), (903, None), (904, "http://b.net/" + "buy/" * 5000), (905, "http://b.net/" + "buy/" * 5000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(200)] + [(900, None), (7, 0)], "doc_id long, quality int")
+    marked = url_rules.labels_of_pages(pages, labels)
+    assert {r.verdict for r in marked.collect()} == {"allow", "block"} and marked.count() == 200
+    got = {r.page_id: r for r in url_rules.judge(pages, marked).collect()}
+    assert (got[900].verdict, got[901].verdict, got[902].verdict, got[904].verdict) == ("block", "allow", "allow", "block")
+    assert got[900].mined_rule and got[902].rule == "org/" and got[902].mined_rule is None and got[904].verdict == got[905].verdict
+    assert all(got[k].verdict == ("block" if k % 2 else "allow") for k in range(200))
+
+
+def test_match_by_shuffle_equals_broadcast_and_breaks_ties(spark, monkeypatch):
+    rules = spark.createDataFrame([(["a"], "allow", 0.9, 0.1, "a", 1), (["b"], "block", 0.9, 0.1, "b", 2), (["a", "b"], "allow", 0.9, 0.1, "a", 3), (["c"], "block", 1.0, 0.01, "c", 4)], "tokens array<string>, verdict string, confidence double, support double, anchor string, rule_id long")
+    urls = spark.createDataFrame([("u1", ["a"]), ("u2", ["a", "b"]), ("u3", ["b", "c"]), ("u4", ["d"]), ("u5", [])], "url string, tokens array<string>")
+    want = {"u1": "allow", "u2": "allow", "u3": "block"}
+    for most in (50_000, 0):
+        monkeypatch.setattr(url_rules, "BROADCAST_RULES", most)
+        assert {r.url: r.mined for r in url_rules.match(urls, rules).collect()} == want
+
+
 def test_rules_equal_all_combinations(spark):
     """Mined rules against counting every combination, and their use against testing every rule."""
     rng = random.Random(6)

@@ -2,14 +2,17 @@
 
 A text's sketch keeps every distinct shingle hash (five words) below a fixed fraction of the hash
 range. As all sketches share the threshold, the sketch of a union is the union of the sketches and
-containment can be estimated between texts of very unequal length. A fingerprint is a string: the
-16 hex digits of a digest of all shingles, then 10 hex digits for each kept hash, ascending.
+containment can be estimated between texts of very unequal length. A text of at most WHOLE
+distinct shingles keeps them all, as too few would lie below the threshold: two such texts are compared exactly, and
+with any longer text by what lies below the threshold. A fingerprint is a string: the 16 hex digits
+of a digest of all shingles, `=` where all hashes are kept or `~`, then 10 hex digits for each kept
+hash, ascending.
 
 Defined results: a null text counts as empty; a text without words has the fingerprint of sixteen
-zeros; fewer words than five make one shingle. Where neither sketch of two kept a hash, likeness is
-1 if their digests agree and else 0. Rows with equal doc_id stand in the order of their texts.
-Repeated rows count one by one; an empty table gives an empty result; columns named like the
-results are replaced.
+zeros and `=`; fewer words than five make one shingle; a text of any length is read whole. Where
+neither sketch of two kept a hash, likeness is 1 if their digests agree and else 0. Rows with equal
+doc_id stand in the order of their texts. Repeated rows count one by one; an empty table gives an
+empty result; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +26,10 @@ from unspool.llm.common import SPACE_CHARS, lower_ascii, shuffle_partitions
 WIDTH = 5
 #: Bits of a hash, and the share of the range that a sketch keeps: one of 2**SCALE_BITS.
 HASH_BITS, SCALE_BITS = 40, 2
+#: Distinct shingles up to which a sketch keeps all hashes.
+WHOLE = 128
+#: Bytes of text for which a bucket of neighbouring ids is made, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 1 << 16
 
 
 def _let(value: Column, use) -> Column:
@@ -46,41 +53,57 @@ def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
 
 
 def sketch(text: Column, width: int = WIDTH, scale_bits: int = SCALE_BITS) -> Column:
-    """struct(digest, kept): a digest of the distinct shingles, and the kept hashes, ascending.
+    """struct(digest, whole, limit, kept): a digest of the shingles, whether all are kept, the threshold, and the kept hashes, ascending.
 
     The low HASH_BITS of a shingle's hash are its place in the range; those under the threshold stay.
     """
     mask, limit = (1 << HASH_BITS) - 1, 1 << (HASH_BITS - scale_bits)
 
     def of(hashes: Column) -> Column:
-        low = F.filter(hashes, lambda h: h.bitwiseAND(F.lit(mask)) < limit)
-        kept = F.sort_array(F.array_distinct(F.transform(low, lambda h: h.bitwiseAND(F.lit(mask)))))
-        return F.struct(F.when(F.size(hashes) > 0, F.xxhash64(hashes)).otherwise(F.lit(0)).alias("digest"), kept.alias("kept"))
+        def kept(own: Column) -> Column:
+            whole = F.size(own) <= WHOLE
+            hashes_kept = F.sort_array(F.when(whole, own).otherwise(F.filter(own, lambda h: h < limit)))
+            return F.struct(F.when(F.size(hashes) > 0, F.xxhash64(hashes)).otherwise(F.lit(0)).alias("digest"), whole.alias("whole"), F.lit(limit).alias("limit"), hashes_kept.alias("kept"))
+
+        return _let(F.array_distinct(F.transform(hashes, lambda h: h.bitwiseAND(F.lit(mask)))), kept)
 
     return _let(shingle_hashes(text, width), of)
 
 
 def as_text(sketch: Column) -> Column:
     digits = HASH_BITS // 4
-    head = F.lpad(F.hex(sketch["digest"]), 16, "0")
+    head = F.concat(F.lpad(F.hex(sketch["digest"]), 16, "0"), F.when(sketch["whole"], "=").otherwise("~"))
     return F.concat(head, F.array_join(F.transform(sketch["kept"], lambda h: F.lpad(F.hex(h), digits, "0")), ""))
 
 
+def _below(sketch: Column) -> Column:
+    """The kept hashes below the threshold."""
+    return F.when(sketch["whole"], F.filter(sketch["kept"], lambda h: h < sketch["limit"])).otherwise(sketch["kept"])
+
+
+def _comparable(a: Column, b: Column, use) -> Column:
+    """use(a's hashes, b's): all where both sketches keep all, else those below the threshold."""
+    both = a["whole"] & b["whole"]
+    return _let(F.struct(F.when(both, a["kept"]).otherwise(_below(a)).alias("a"), F.when(both, b["kept"]).otherwise(_below(b)).alias("b")), lambda x: use(x["a"], x["b"]))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two texts from their sketches."""
-    shared = F.size(F.array_intersect(a["kept"], b["kept"]))
-    whole = F.size(a["kept"]) + F.size(b["kept"]) - shared
-    return F.when(a["digest"] == b["digest"], 1.0).when(whole > 0, shared / whole).otherwise(0.0)
+    """Jaccard similarity of two texts from their sketches: exact where both keep all hashes, else estimated."""
+
+    def of(x: Column, y: Column) -> Column:
+        return _let(F.size(F.array_intersect(x, y)), lambda n: F.when(F.size(x) + F.size(y) > 0, n / (F.size(x) + F.size(y) - n)).otherwise(0.0))
+
+    return F.when(a["digest"] == b["digest"], 1.0).otherwise(_comparable(a, b, of))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has, also where b is far longer; null where a kept none."""
-    return F.when(F.size(a["kept"]) > 0, F.size(F.array_intersect(a["kept"], b["kept"])) / F.size(a["kept"]))
+    """Share of a's shingles that b has, also where b is far longer; null where a has none to go by."""
+    return _comparable(a, b, lambda x, y: F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x)))
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The kept hashes of two texts' union."""
-    return F.sort_array(F.array_union(a["kept"], b["kept"]))
+    """The kept hashes of two texts' union: all where both sketches keep all, else those below the threshold."""
+    return _comparable(a, b, lambda x, y: F.sort_array(F.array_union(x, y)))
 
 
 def _longs(values: list[int]) -> Column:
@@ -105,9 +128,11 @@ def beside_next(docs: DataFrame, buckets: int = 0) -> tuple[DataFrame, W]:
     dropped at the end), so no task sees all rows and each text is shuffled once.
     """
     spark = docs.sparkSession
-    buckets = buckets or 4 * shuffle_partitions(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id")
+    if not buckets:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()["size"]
+        buckets = min(MOST_BUCKETS, max(4 * shuffle_partitions(spark), -(-size // BUCKET_BYTES)))
     cuts = ids.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)] or [0.5], max(10_000, 10 * buckets)).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts))
     # One row for each bucket reaches the driver, never one for each document.

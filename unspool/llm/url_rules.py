@@ -96,6 +96,12 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("url").agg(F.max(best).alias("best")).select("url", F.col("best.verdict").alias("mined"), F.col("best.needed").alias("mined_rule"), F.col("best.confidence").alias("mined_confidence"))
 
 
+def labels_of_pages(pages: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """(url, verdict) for judge() from marks of documents (doc_id and a 0/1 label): a page has the mark of the document of its number, 1 allows."""
+    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("page_id")).agg(F.max(label).alias("mark"))
+    return pages.where("url is not null").join(marks, "page_id").select("url", F.when(F.col("mark") == 1, "allow").otherwise("block").alias("verdict"))
+
+
 def judge(pages: DataFrame, labels: DataFrame | None = None, lists: tuple = LISTS) -> DataFrame:
     """pages with host, path, rule, verdict, and the mined rule where that decided.
 

@@ -120,3 +120,126 @@ def test_odd_rows(spark):
     assert all(r.p.lang_pred == "en" for r in rows if r.text and any(c.isalpha() for c in r.text))
     none = language.fit(docs.where("lang is null"))
     assert docs.select(language.predict(none, F.col("text"))["lang_pred"].alias("l")).distinct().collect()[0].l == "und"
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_toxicity_query_equals_all_pairs(spark):
+    """The query's score against the machine's formula, pair by pair, on every document."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    m = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    at = {int(t): k for k, t in enumerate(m.terms)}
+    got = {r.doc_id: r for r in queries.QUERIES["op3_toxicity"](spark, SMALL).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        own = [at[t] for _, _, term in toxicity.terms(pa.array([r.text])) for t in term.tolist() if t in at]
+        raw = m.bias + sum(m.weight[k] for k in own) + sum(m.vector[a] @ m.vector[b] for i, a in enumerate(own) for b in own[i + 1 :])
+        p = 1 / (1 + np.exp(-raw))
+        assert abs(got[r.doc_id].score - p) < 1e-9 and got[r.doc_id].predicted == int(p >= 0.3)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_pair_of_words_that_tell_nothing_alone(spark):
+    """Through fit(): both words are as common in either class; only all terms let the machine learn the pair."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(1200):
+        a, b = int(rng.integers(2)), int(rng.integers(2))
+        words = ["alpha" if a else "zeta", "beta" if b else "eta", *rng.choice(["one", "two", "three", "four"], 3)]
+        rows.append((i, " ".join(words), int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(docs, docs.select("doc_id", "toxic"), gain=0.0, keep=None)
+    scored = docs.select("toxic", toxicity.score(m, F.col("text")).alias("s"), held_out(F.col("doc_id")).alias("h")).where("h").collect()
+    assert len(scored) > 200 and np.mean([(r.s >= 0.5) == r.toxic for r in scored]) > 0.95
+
+
+def test_steps_of_the_fit_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    row = np.sort(rng.integers(0, 50, 400))
+    term = rng.integers(0, 30, 400)
+    y = rng.integers(0, 2, 50).astype(float)
+    one = toxicity.fit_arrays(row, term, y, rounds=20)
+    monkeypatch.setattr(toxicity, "_STEP_HITS", 37)
+    two = toxicity.fit_arrays(row, term, y, rounds=20)
+    assert np.allclose(one.weight, two.weight) and np.allclose(one.vector, two.vector) and np.isclose(one.bias, two.bias)
+
+
+def test_language_query_equals_plain_kernel(spark):
+    """The query's prediction against sets of n-grams, landmark by landmark, on every document."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    m = language.fit(docs)
+    known = np.flatnonzero(m.place >= 0)
+    marks = [{int(g) for g in known[np.flatnonzero(x)]} for x in m.landmarks]
+    got = {r.doc_id: r for r in queries.QUERIES["op4_language"](spark, SMALL).collect()}
+    same = 0
+    rows = docs.collect()
+    for r in rows:
+        own = {int(g) for g in language.grams(r.text)}
+        k = np.array([len(own & x) / np.sqrt(max(len(own), 1) * n**2) for x, n in zip(marks, m.landmark_norm, strict=True)])
+        value = k @ m.weights
+        assert got[r.doc_id].lang_pred == (m.langs[int(value.argmax())] if own else "und") or np.ptp(np.sort(value)[-2:]) < 1e-4
+        same += 1
+    assert same == len(got) == len(rows)
+
+
+def test_grams_are_runs_of_code_points():
+    """Distinct hashes for distinct runs, in any script; letters that look alike in other alphabets stay apart."""
+
+    def plain(text):
+        import re
+
+        t = " " + re.sub(r"[\W\d_]+", " ", "".join(c.lower()[0] for c in text)).strip() + " "
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} - {"  "}
+
+    for text in ("The cat, sat!", "Їжак і ґава", "日本語の文 と 漢字", "ß ø", "a"):
+        assert abs(len(language.grams(text)) - len(plain(text))) <= 1
+    assert not set(language.grams("і").tolist()[:]) >= set(language.grams("н").tolist())
+
+
+def test_language_ties_and_many_languages(spark):
+    docs = spark.createDataFrame([(i, f"same words here {i % 2}", f"l{i % 300:03}", None) for i in range(1500)], "doc_id long, text string, lang string, score string")
+    m = language.fit(docs, landmarks=64)
+    assert len(m.langs) == len({r.lang for r in docs.where(~held_out(F.col("doc_id"))).collect()}) > 256
+    again = [docs.select(language.predict(m, F.lit("same words here 1"))["lang_pred"].alias("l")).first().l for _ in range(2)]
+    assert again[0] == again[1] and again[0] in m.langs
+    tie = language.fit_texts(["one text", "one text"], ["b", "a"])
+    assert tie.predict(["one text"])[0] == ["a"]
+
+
+def plain_statistics(text):
+    import re
+
+    text = text or ""
+    data = text.encode()
+    kind = {**{c: "lower" for c in range(97, 123)}, **{c: "upper" for c in range(65, 91)}, **{c: "digit" for c in range(48, 58)}, **{c: "beyond" for c in range(128, 256)}, **{ord(c): "stop" for c in ".,;:?'\"()-"}, **{c: "space" for c in (9, 11, 12, 32)}, **{c: "newline" for c in (10, 13)}}
+    count = {k: 0 for k in quality._CLASSES}
+    for b in data:
+        count[kind.get(b, "symbol")] += 1
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    low = [w.lower() if False else bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    n, visible = max(len(words), 1), max(len(data) - count["space"] - count["newline"], 1)
+    letters = count["lower"] + count["upper"] + count["beyond"]
+    ends = [w for w in words if kind.get(w[-1], "symbol") == "symbol"]
+    return [
+        np.log1p(len(words)), np.log1p(visible / n), np.sqrt(count["upper"] / max(letters, 1)), np.sqrt(count["symbol"] / visible), np.sqrt(count["digit"] / visible), np.sqrt(count["stop"] / n),
+        np.sqrt(sum(a == b for a, b in zip(low, low[1:], strict=False)) / n), np.log1p(len(set(low))) / np.log1p(n), np.sqrt(len(ends) / n), np.sqrt(sum(len(w) == 1 for w in ends) / n), np.sqrt(count["newline"] / n), letters / visible,
+    ]
+
+
+def test_quality_query_equals_plain_statistics(spark):
+    """Every document's statistics counted plainly, and the score by the densities' formula."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    m = quality.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["op6_quality"](spark, SMALL).collect()}
+    rows = docs.collect()
+    x = np.array([plain_statistics(r.text) for r in rows])
+    assert np.allclose(quality.statistics(pa.array([r.text for r in rows])), x)
+    cov = [np.linalg.inv(w) @ np.linalg.inv(w).T for w in m.whiten]
+    logs = [-0.5 * (np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(c), x - mu) + np.linalg.slogdet(c)[1]) for mu, c in zip(m.mean, cov, strict=True)]
+    p = 1 / (1 + np.exp(-np.clip(m.slope * np.arcsinh(logs[1] - logs[0]) + m.bias, -30, 30)))
+    for r, s in zip(rows, p, strict=True):
+        assert abs(got[r.doc_id].score - s) < 1e-6 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
+    odd = [None, "", " \n", "a", "A A a", "!! ! x!", "é" * 9]
+    assert np.allclose(quality.statistics(pa.array(odd)), np.array([plain_statistics(t) for t in odd]))

@@ -12,6 +12,7 @@ mean (0 without any). Columns beside `text` pass through.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ from unspool.llm.common import fit_sample, held_out
 BITS = 20
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: Hits that a step of the fit holds at once.
+_STEP_HITS = 1 << 19
 #: Lengths in code points of the beginnings of a word that are terms; 0 is the whole word.
 PREFIXES = (0, 4, 5)
 
@@ -86,15 +89,23 @@ def fit_arrays(row: np.ndarray, term: np.ndarray, y: np.ndarray, factors: int =
     at, n = np.searchsorted(kept, term), len(y)
     params = [np.array([m.bias]), m.weight, m.vector]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    # Sums are made over some rows at a time, so that memory doesn't follow the hits.
+    ends = np.searchsorted(row, np.arange(n + 1))
+    steps = [0, *(int(i) for i in np.flatnonzero(np.diff(ends // _STEP_HITS)) + 1 if 0 < i < n), n]
     for t in range(1, rounds + 1):
-        v = m.vector[at]
-        total = np.column_stack([np.bincount(row, v[:, f], n) for f in range(factors)])
-        raw = params[0][0] + np.bincount(row, m.weight[at], n) + 0.5 * ((total**2).sum(1) - np.bincount(row, (v**2).sum(1), n))
-        g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / n
-        gw = np.bincount(at, g[row], len(kept)) + ridge * m.weight
-        pull = g[row, None] * (total[row] - v)
-        gv = np.column_stack([np.bincount(at, pull[:, f], len(kept)) for f in range(factors)]) + ridge * m.vector
-        for k, grad in enumerate((np.array([g.sum()]), gw, gv)):
+        gb, gw, gv = 0.0, ridge * m.weight, ridge * m.vector
+        for r0, r1 in itertools.pairwise(steps):
+            part = slice(ends[r0], ends[r1])
+            own, of, size = row[part] - r0, at[part], r1 - r0
+            v = m.vector[of]
+            total = np.column_stack([np.bincount(own, v[:, f], size) for f in range(factors)])
+            raw = params[0][0] + np.bincount(own, m.weight[of], size) + 0.5 * ((total**2).sum(1) - np.bincount(own, (v**2).sum(1), size))
+            g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[r0:r1]) / n
+            pull = g[own, None] * (total[own] - v)
+            gb += g.sum()
+            gw = gw + np.bincount(of, g[own], len(kept))
+            gv = gv + np.column_stack([np.bincount(of, pull[:, f], len(kept)) for f in range(factors)])
+        for k, grad in enumerate((np.array([gb]), gw, gv)):
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.999 * second[k] + 0.001 * grad**2
             params[k] -= rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-10)
@@ -102,18 +113,22 @@ def fit_arrays(row: np.ndarray, term: np.ndarray, y: np.ndarray, factors: int =
     return m
 
 
-def select_terms(term: np.ndarray, seen: np.ndarray, marked: np.ndarray, rows: int, positives: int, keep: int, least: int = 5) -> np.ndarray:
-    """The `keep` terms, seen in `least` rows or more, whose rows' labels are least like chance (chi-square)."""
+def select_terms(term: np.ndarray, seen: np.ndarray, marked: np.ndarray, rows: int, positives: int, keep: int | None = 2048, least: int = 5, gain: float = 6.6) -> np.ndarray:
+    """The terms, seen in `least` rows or more, whose rows' labels differ from chance by a chi-square over `gain`; at most the `keep` best, or all."""
     share = positives / max(rows, 1)
-    gain = np.where(seen >= least, (marked - seen * share) ** 2 / np.maximum(seen * share * (1 - share), 1e-9), -1.0)
-    best = np.lexsort((term, -gain))[:keep]
-    return np.sort(term[best[gain[best] > 6.6]])
+    gains = np.where(seen >= least, (marked - seen * share) ** 2 / np.maximum(seen * share * (1 - share), 1e-9), -1.0)
+    best = np.lexsort((term, -gains))[:keep]
+    return np.sort(term[best[gains[best] >= gain]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = 20_000, keep: int = 2048) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = 20_000, keep: int | None = 2048, least: int = 5, gain: float = 6.6) -> Machine:
     """Fit on at most fit_rows labelled rows outside the held-out quarter.
 
-    The counts of terms are made where the rows are; the driver gets the counts of terms that two
+    The machine sees the terms of at least `least` fitted rows whose rows' labels differ from chance
+    by a chi-square of `gain`, at most `keep` of them. A pair of words that tell nothing each by
+    itself is learned with gain=0 and keep=None, which leaves all terms in; that takes time in
+    proportion to all words of the fitted rows.
+    The counts of terms are made where the rows are; the driver gets the counts of terms that `least`
     rows or more hold, at most 2**BITS of them, then the hits of the kept terms.
     """
     own = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -131,11 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n)), pa.array(np.append(marked[at], hits))], ["term", "seen", "marked"])
 
-    counts = rows.mapInArrow(count, "term long, seen long, marked long").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum("marked").alias("marked")).where("term < 0 or seen >= 5").toPandas()
+    counts = rows.mapInArrow(count, "term long, seen long, marked long").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum("marked").alias("marked")).where((F.col("term") < 0) | (F.col("seen") >= least)).toPandas()
     total = counts[counts["term"] < 0]
     n, hits = (int(total["seen"].iloc[0]), int(total["marked"].iloc[0])) if len(total) else (0, 0)
     counts = counts[counts["term"] >= 0]
-    kept = select_terms(counts["term"].to_numpy(), counts["seen"].to_numpy(), counts["marked"].to_numpy(), n, hits, keep)
+    kept = select_terms(counts["term"].to_numpy(), counts["seen"].to_numpy(), counts["marked"].to_numpy(), n, hits, keep, least, gain)
     only = Machine(kept, 0.0, np.zeros(len(kept)), np.zeros((len(kept), 0)))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,8 +176,8 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.greatest(F.length(digits) - 1, F.lit(0))), F.lit(0), lambda t, i: add(t, i))
 
 
-def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
-    """The replacement's normal form: the attempt-th candidate of an entity."""
+def surrogate(key: str, kind: Column, norm: Column, attempt: Column, names: bool = True) -> Column:
+    """The replacement's normal form: the attempt-th candidate of an entity. names: whether it may be a part of a name."""
     # What later candidates have more than the entity's own form: keyed characters, 16 choices each.
     more = F.least(F.greatest(attempt - F.when(kind.isin(*_NUMBERS), OWN_FORM_NUMBERS).otherwise(OWN_FORM), F.lit(0)), F.lit(60))
 
@@ -201,11 +201,12 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
         secret = F.when(norm.rlike("^[0-9a-f]+$"), F.concat(hexes, grown)).otherwise(F.concat(_shape(norm, stream), grown))
         access = F.concat(F.substring(norm, 1, 4), _shape(F.substring(norm, F.lit(5), F.length(norm)), stream, digits="234567"), F.upper(letters))
         iban = F.concat(F.substring(norm, 1, 2), _shape(F.substring(norm, F.lit(3), F.length(norm)), stream), numbers)
-        return (
+        out = (
             F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card)
             .when(kind == "secret", secret).when(kind == "access_key", access).when(kind == "iban", iban)
-            .when(kind.isin("female", "male", "last"), _name(kind, norm, stream, attempt)).otherwise(F.concat(_shape(norm, stream), numbers))
+            .when(kind == "national_id", F.concat(_shape(norm, stream), numbers))
         )
+        return out.when(kind.isin("female", "male", "last"), _name(kind, norm, stream, attempt)) if names else out
 
     def own_script(stream: Column) -> Column:
         # The last label of an address stays.
@@ -217,17 +218,16 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
 
 def _name(kind: Column, norm: Column, stream: Column, attempt: Column) -> Column:
     """A given name of the gender asked for, or a last name, of the script of norm; later candidates have more syllables."""
-
-    def of(script: str) -> Column:
-        pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), _number(stream, k, len(words)) + 1)
-        more = lambda n: F.array_join(F.transform(F.sequence(F.lit(0), F.least(n, F.lit(60))), lambda k: F.when(k > 0, pick(SYLLABLES[script], k + 4)).otherwise("")), "")
-        last = F.initcap(F.concat(*[pick(SYLLABLES[script], k) for k in (1, 2, 3, 4)], more(F.greatest(attempt - OWN_FORM, F.lit(0)))))
-        # Few given names have no other form, so theirs grow from the second candidate on.
-        given = lambda gender: F.concat(pick(FIRST[gender, script], 0), more(attempt))
-        return F.when(kind == "female", given("female")).when(kind == "male", given("male")).otherwise(last)
-
+    by_script = lambda cyrillic, greek, latin: F.when(norm.rlike("\\p{IsCyrillic}"), cyrillic).when(norm.rlike("\\p{IsGreek}"), greek).when(norm.rlike("\\p{IsLatin}"), latin)
+    stock = lambda words: by_script(*[F.array(*map(F.lit, words(script))) for script in ("cyrillic", "greek", "latin")])
+    first = F.when(kind == "female", stock(lambda x: FIRST["female", x])).when(kind == "male", stock(lambda x: FIRST["male", x]))
+    pick = lambda words, k: F.get(words, _number(stream, k, F.size(words)))
+    # Four syllables make a last name. Few given names have no other form, so theirs grow from the second candidate on.
+    count = F.when(kind == "last", F.greatest(attempt - OWN_FORM, F.lit(0)) + 4).otherwise(F.least(attempt, F.lit(60)))
+    grown = lambda words: F.array_join(F.transform(F.sequence(F.lit(0), count), lambda k: F.when(k > 0, pick(words, k)).otherwise("")), "")
+    name = lambda own, words: F.initcap(F.concat(F.coalesce(pick(own, F.lit(0)), F.lit("")), grown(words)))
     other = F.initcap(_own_script(F.concat(norm, F.repeat(F.substring(norm, -1, 1), attempt)), stream))
-    return F.when(norm.rlike("\\p{IsCyrillic}"), of("cyrillic")).when(norm.rlike("\\p{IsGreek}"), of("greek")).when(norm.rlike("\\p{IsLatin}"), of("latin")).otherwise(other)
+    return _let(F.struct(first.alias("own"), stock(lambda x: SYLLABLES[x]).alias("words")), lambda x: F.when(x["words"].isNull(), other).otherwise(name(x["own"], x["words"])))
 
 
 def _pour(mention: Column, digits: Column) -> Column:
@@ -242,8 +242,10 @@ def _pour(mention: Column, digits: Column) -> Column:
 
 
 def _new_name(key: str, kind: Column, norm: Column, attempt_of) -> Column:
-    new = F.transform(pieces(kind, norm), lambda p: surrogate(key, p["kind"], p["norm"], attempt_of(p["kind"], p["norm"])))
-    return F.array_join(new, " ")
+    def one(kind: Column, norm: Column) -> Column:
+        return _let(attempt_of(kind, norm), lambda attempt: _let(_stream(key, kind, norm, attempt), lambda stream: _name(kind, norm, stream, attempt)))
+
+    return F.array_join(F.transform(pieces(kind, norm), lambda p: one(p["kind"], p["norm"])), " ")
 
 
 def replacement(key: str, mention: Column, attempt_of) -> Column:
@@ -251,7 +253,7 @@ def replacement(key: str, mention: Column, attempt_of) -> Column:
 
     def with_norm(kind: Column, norm: Column) -> Column:
         name = kind.isin("female", "male")
-        new = F.when(name, _new_name(key, kind, norm, attempt_of)).otherwise(surrogate(key, kind, norm, attempt_of(kind, norm)))
+        new = F.when(name, _new_name(key, kind, norm, attempt_of)).otherwise(surrogate(key, kind, norm, attempt_of(kind, norm), names=False))
         digits = F.regexp_replace(mention, "[^0-9]", "")
 
         def written(new: Column) -> Column:

@@ -12,53 +12,66 @@ TRUNCATED, BAD_STRING = "Truncated", "BadString"
 KEYWORDS = ("", "And", "Or", "Not", "If", "Then", "Else", "ElseIf", "EndIf", "While", "WEnd", "Do", "Until", "For", "Next", "To", "Step", "In", "ExitLoop", "ContinueLoop", "Select", "Case", "EndSelect", "Switch", "EndSwitch", "ContinueCase", "Dim", "ReDim", "Local", "Global", "Const", "Static", "Func", "EndFunc", "Return", "Exit", "ByRef", "With", "EndWith", "True", "False", "Default", "Null", "Volatile", "Enum")
 #: Function names by id, from 0 on.
 FUNCTIONS = (
-    "Abs ACos AdlibRegister AdlibUnRegister Asc AscW ASin Assign ATan AutoItSetOption AutoItWinGetTitle AutoItWinSetTitle Beep Binary BinaryLen BinaryMid "
-    "BinaryToString BitAND BitNOT BitOR BitRotate BitShift BitXOR BlockInput Break Call CDTray Ceiling Chr ChrW ClipGet ClipPut ConsoleRead ConsoleWrite "
-    "ConsoleWriteError ControlClick ControlCommand ControlDisable ControlEnable ControlFocus ControlGetFocus ControlGetHandle ControlGetPos ControlGetText "
-    "ControlHide ControlListView ControlMove ControlSend ControlSetText ControlShow ControlTreeView Cos Dec DirCopy DirCreate DirGetSize DirMove DllCall "
-    "DllCallAddress DllCallbackFree DllCallbackGetPtr DllCallbackRegister DllClose DllOpen DllStructCreate DllStructGetData DllStructGetPtr "
-    "DllStructGetSize DllStructSetData DriveGetDrive DriveGetFileSystem DriveGetLabel DriveGetSerial DriveGetType DriveMapAdd DriveMapDel DriveMapGet "
-    "DriveSetLabel DriveSpaceFree DriveSpaceTotal DriveStatus DummySpeedTest EnvGet EnvSet EnvUpdate Eval Execute Exp FileChangeDir FileClose FileCopy "
-    "FileCreateNTFSLink FileCreateShortcut FileDelete FileExists FileFindFirstFile FileFindNextFile FileFlush FileGetAttrib FileGetEncoding FileGetLongName "
-    "FileGetPos FileGetShortcut FileGetShortName FileGetSize FileGetTime FileGetVersion FileInstall FileMove FileOpen FileOpenDialog FileRead FileReadLine "
-    "FileReadToArray FileRecycle FileRecycleEmpty FileSaveDialog FileSelectFolder FileSetAttrib FileSetEnd FileSetPos FileSetTime FileWrite FileWriteLine "
-    "Floor FtpSetProxy FuncName GUICreate GUICtrlCreateAvi GUICtrlCreateButton GUICtrlCreateCheckbox GUICtrlCreateCombo GUICtrlCreateContextMenu "
-    "GUICtrlCreateDate GUICtrlCreateDummy GUICtrlCreateEdit GUICtrlCreateGraphic GUICtrlCreateGroup GUICtrlCreateIcon GUICtrlCreateInput GUICtrlCreateLabel "
-    "GUICtrlCreateList GUICtrlCreateListView GUICtrlCreateListViewItem GUICtrlCreateMenu GUICtrlCreateMenuItem GUICtrlCreateMonthCal GUICtrlCreateObj "
-    "GUICtrlCreatePic GUICtrlCreateProgress GUICtrlCreateRadio GUICtrlCreateSlider GUICtrlCreateTab GUICtrlCreateTabItem GUICtrlCreateTreeView "
-    "GUICtrlCreateTreeViewItem GUICtrlCreateUpdown GUICtrlDelete GUICtrlGetHandle GUICtrlGetState GUICtrlRead GUICtrlRecvMsg GUICtrlRegisterListViewSort "
-    "GUICtrlSendMsg GUICtrlSendToDummy GUICtrlSetBkColor GUICtrlSetColor GUICtrlSetCursor GUICtrlSetData GUICtrlSetDefBkColor GUICtrlSetDefColor "
-    "GUICtrlSetFont GUICtrlSetGraphic GUICtrlSetImage GUICtrlSetLimit GUICtrlSetOnEvent GUICtrlSetPos GUICtrlSetResizing GUICtrlSetState GUICtrlSetStyle "
-    "GUICtrlSetTip GUIDelete GUIGetCursorInfo GUIGetMsg GUIGetStyle GUIRegisterMsg GUISetAccelerators GUISetBkColor GUISetCoord GUISetCursor GUISetFont "
-    "GUISetHelp GUISetIcon GUISetOnEvent GUISetState GUISetStyle GUIStartGroup GUISwitch Hex HotKeySet HttpSetProxy HttpSetUserAgent HWnd InetClose InetGet "
-    "InetGetInfo InetGetSize InetRead IniDelete IniRead IniReadSection IniReadSectionNames IniRenameSection IniWrite IniWriteSection InputBox Int IsAdmin "
-    "IsArray IsBinary IsBool IsDeclared IsDllStruct IsFloat IsFunc IsHWnd IsInt IsKeyword IsMap IsNumber IsObj IsPtr IsString Log MapAppend MapExists "
-    "MapKeys MapRemove MemGetStats Mod MouseClick MouseClickDrag MouseDown MouseGetCursor MouseGetPos MouseMove MouseUp MouseWheel MsgBox Number ObjCreate "
-    "ObjCreateInterface ObjEvent ObjGet ObjName OnAutoItExitRegister OnAutoItExitUnRegister Opt Ping PixelChecksum PixelGetColor PixelSearch ProcessClose "
-    "ProcessExists ProcessGetStats ProcessList ProcessSetPriority ProcessWait ProcessWaitClose ProgressOff ProgressOn ProgressSet Ptr Random RegDelete "
-    "RegEnumKey RegEnumVal RegRead RegWrite Round Run RunAs RunAsWait RunWait Send SendKeepActive SetError SetExtended ShellExecute ShellExecuteWait "
-    "Shutdown Sin Sleep SoundPlay SoundSetWaveVolume SplashImageOn SplashOff SplashTextOn Sqrt SRandom StatusbarGetText StdErrRead StdInWrite StdioClose "
-    "StdOutRead String StringAddCR StringCompare StringFormat StringFromASCIIArray StringInStr StringIsAlNum StringIsAlpha StringIsASCII StringIsDigit "
-    "StringIsFloat StringIsInt StringIsLower StringIsSpace StringIsUpper StringIsXDigit StringLeft StringLen StringLower StringMid StringRegExp "
-    "StringRegExpReplace StringReplace StringReverse StringRight StringSplit StringStripCR StringStripWS StringToASCIIArray StringToBinary StringTrimLeft "
-    "StringTrimRight StringUpper Tan TCPAccept TCPCloseSocket TCPConnect TCPListen TCPNameToIP TCPRecv TCPSend TCPShutdown TCPStartup TimerDiff TimerInit "
-    "ToolTip TrayCreateItem TrayCreateMenu TrayGetMsg TrayItemDelete TrayItemGetHandle TrayItemGetState TrayItemGetText TrayItemSetOnEvent TrayItemSetState "
-    "TrayItemSetText TraySetClick TraySetIcon TraySetOnEvent TraySetPauseIcon TraySetState TraySetToolTip TrayTip UBound UDPBind UDPCloseSocket UDPOpen "
-    "UDPRecv UDPSend UDPShutdown UDPStartup VarGetType WinActivate WinActive WinClose WinExists WinFlash WinGetCaretPos WinGetClassList WinGetClientSize "
-    "WinGetHandle WinGetPos WinGetProcess WinGetState WinGetText WinGetTitle WinKill WinList WinMenuSelectItem WinMinimizeAll WinMinimizeAllUndo WinMove "
-    "WinSetOnTop WinSetState WinSetTitle WinSetTrans WinWait WinWaitActive WinWaitClose WinWaitNotActive"
-).split()
+    "Abs", "ACos", "AdlibRegister", "AdlibUnRegister", "Asc", "AscW", "ASin", "Assign", "ATan", "AutoItSetOption", "AutoItWinGetTitle",
+    "AutoItWinSetTitle", "Beep", "Binary", "BinaryLen", "BinaryMid", "BinaryToString", "BitAND", "BitNOT", "BitOR", "BitRotate", "BitShift", "BitXOR",
+    "BlockInput", "Break", "Call", "CDTray", "Ceiling", "Chr", "ChrW", "ClipGet", "ClipPut", "ConsoleRead", "ConsoleWrite", "ConsoleWriteError",
+    "ControlClick", "ControlCommand", "ControlDisable", "ControlEnable", "ControlFocus", "ControlGetFocus", "ControlGetHandle", "ControlGetPos",
+    "ControlGetText", "ControlHide", "ControlListView", "ControlMove", "ControlSend", "ControlSetText", "ControlShow", "ControlTreeView", "Cos",
+    "Dec", "DirCopy", "DirCreate", "DirGetSize", "DirMove", "DllCall", "DllCallAddress", "DllCallbackFree", "DllCallbackGetPtr",
+    "DllCallbackRegister", "DllClose", "DllOpen", "DllStructCreate", "DllStructGetData", "DllStructGetPtr", "DllStructGetSize", "DllStructSetData",
+    "DriveGetDrive", "DriveGetFileSystem", "DriveGetLabel", "DriveGetSerial", "DriveGetType", "DriveMapAdd", "DriveMapDel", "DriveMapGet",
+    "DriveSetLabel", "DriveSpaceFree", "DriveSpaceTotal", "DriveStatus", "DummySpeedTest", "EnvGet", "EnvSet", "EnvUpdate", "Eval", "Execute", "Exp",
+    "FileChangeDir", "FileClose", "FileCopy", "FileCreateNTFSLink", "FileCreateShortcut", "FileDelete", "FileExists", "FileFindFirstFile",
+    "FileFindNextFile", "FileFlush", "FileGetAttrib", "FileGetEncoding", "FileGetLongName", "FileGetPos", "FileGetShortcut", "FileGetShortName",
+    "FileGetSize", "FileGetTime", "FileGetVersion", "FileInstall", "FileMove", "FileOpen", "FileOpenDialog", "FileRead", "FileReadLine",
+    "FileReadToArray", "FileRecycle", "FileRecycleEmpty", "FileSaveDialog", "FileSelectFolder", "FileSetAttrib", "FileSetEnd", "FileSetPos",
+    "FileSetTime", "FileWrite", "FileWriteLine", "Floor", "FtpSetProxy", "FuncName", "GUICreate", "GUICtrlCreateAvi", "GUICtrlCreateButton",
+    "GUICtrlCreateCheckbox", "GUICtrlCreateCombo", "GUICtrlCreateContextMenu", "GUICtrlCreateDate", "GUICtrlCreateDummy", "GUICtrlCreateEdit",
+    "GUICtrlCreateGraphic", "GUICtrlCreateGroup", "GUICtrlCreateIcon", "GUICtrlCreateInput", "GUICtrlCreateLabel", "GUICtrlCreateList",
+    "GUICtrlCreateListView", "GUICtrlCreateListViewItem", "GUICtrlCreateMenu", "GUICtrlCreateMenuItem", "GUICtrlCreateMonthCal", "GUICtrlCreateObj",
+    "GUICtrlCreatePic", "GUICtrlCreateProgress", "GUICtrlCreateRadio", "GUICtrlCreateSlider", "GUICtrlCreateTab", "GUICtrlCreateTabItem",
+    "GUICtrlCreateTreeView", "GUICtrlCreateTreeViewItem", "GUICtrlCreateUpdown", "GUICtrlDelete", "GUICtrlGetHandle", "GUICtrlGetState",
+    "GUICtrlRead", "GUICtrlRecvMsg", "GUICtrlRegisterListViewSort", "GUICtrlSendMsg", "GUICtrlSendToDummy", "GUICtrlSetBkColor", "GUICtrlSetColor",
+    "GUICtrlSetCursor", "GUICtrlSetData", "GUICtrlSetDefBkColor", "GUICtrlSetDefColor", "GUICtrlSetFont", "GUICtrlSetGraphic", "GUICtrlSetImage",
+    "GUICtrlSetLimit", "GUICtrlSetOnEvent", "GUICtrlSetPos", "GUICtrlSetResizing", "GUICtrlSetState", "GUICtrlSetStyle", "GUICtrlSetTip", "GUIDelete",
+    "GUIGetCursorInfo", "GUIGetMsg", "GUIGetStyle", "GUIRegisterMsg", "GUISetAccelerators", "GUISetBkColor", "GUISetCoord", "GUISetCursor",
+    "GUISetFont", "GUISetHelp", "GUISetIcon", "GUISetOnEvent", "GUISetState", "GUISetStyle", "GUIStartGroup", "GUISwitch", "Hex", "HotKeySet",
+    "HttpSetProxy", "HttpSetUserAgent", "HWnd", "InetClose", "InetGet", "InetGetInfo", "InetGetSize", "InetRead", "IniDelete", "IniRead",
+    "IniReadSection", "IniReadSectionNames", "IniRenameSection", "IniWrite", "IniWriteSection", "InputBox", "Int", "IsAdmin", "IsArray", "IsBinary",
+    "IsBool", "IsDeclared", "IsDllStruct", "IsFloat", "IsFunc", "IsHWnd", "IsInt", "IsKeyword", "IsMap", "IsNumber", "IsObj", "IsPtr", "IsString",
+    "Log", "MapAppend", "MapExists", "MapKeys", "MapRemove", "MemGetStats", "Mod", "MouseClick", "MouseClickDrag", "MouseDown", "MouseGetCursor",
+    "MouseGetPos", "MouseMove", "MouseUp", "MouseWheel", "MsgBox", "Number", "ObjCreate", "ObjCreateInterface", "ObjEvent", "ObjGet", "ObjName",
+    "OnAutoItExitRegister", "OnAutoItExitUnRegister", "Opt", "Ping", "PixelChecksum", "PixelGetColor", "PixelSearch", "ProcessClose", "ProcessExists",
+    "ProcessGetStats", "ProcessList", "ProcessSetPriority", "ProcessWait", "ProcessWaitClose", "ProgressOff", "ProgressOn", "ProgressSet", "Ptr",
+    "Random", "RegDelete", "RegEnumKey", "RegEnumVal", "RegRead", "RegWrite", "Round", "Run", "RunAs", "RunAsWait", "RunWait", "Send",
+    "SendKeepActive", "SetError", "SetExtended", "ShellExecute", "ShellExecuteWait", "Shutdown", "Sin", "Sleep", "SoundPlay", "SoundSetWaveVolume",
+    "SplashImageOn", "SplashOff", "SplashTextOn", "Sqrt", "SRandom", "StatusbarGetText", "StdErrRead", "StdInWrite", "StdioClose", "StdOutRead",
+    "String", "StringAddCR", "StringCompare", "StringFormat", "StringFromASCIIArray", "StringInStr", "StringIsAlNum", "StringIsAlpha",
+    "StringIsASCII", "StringIsDigit", "StringIsFloat", "StringIsInt", "StringIsLower", "StringIsSpace", "StringIsUpper", "StringIsXDigit",
+    "StringLeft", "StringLen", "StringLower", "StringMid", "StringRegExp", "StringRegExpReplace", "StringReplace", "StringReverse", "StringRight",
+    "StringSplit", "StringStripCR", "StringStripWS", "StringToASCIIArray", "StringToBinary", "StringTrimLeft", "StringTrimRight", "StringUpper",
+    "Tan", "TCPAccept", "TCPCloseSocket", "TCPConnect", "TCPListen", "TCPNameToIP", "TCPRecv", "TCPSend", "TCPShutdown", "TCPStartup", "TimerDiff",
+    "TimerInit", "ToolTip", "TrayCreateItem", "TrayCreateMenu", "TrayGetMsg", "TrayItemDelete", "TrayItemGetHandle", "TrayItemGetState",
+    "TrayItemGetText", "TrayItemSetOnEvent", "TrayItemSetState", "TrayItemSetText", "TraySetClick", "TraySetIcon", "TraySetOnEvent",
+    "TraySetPauseIcon", "TraySetState", "TraySetToolTip", "TrayTip", "UBound", "UDPBind", "UDPCloseSocket", "UDPOpen", "UDPRecv", "UDPSend",
+    "UDPShutdown", "UDPStartup", "VarGetType", "WinActivate", "WinActive", "WinClose", "WinExists", "WinFlash", "WinGetCaretPos", "WinGetClassList",
+    "WinGetClientSize", "WinGetHandle", "WinGetPos", "WinGetProcess", "WinGetState", "WinGetText", "WinGetTitle", "WinKill", "WinList",
+    "WinMenuSelectItem", "WinMinimizeAll", "WinMinimizeAllUndo", "WinMove", "WinSetOnTop", "WinSetState", "WinSetTitle", "WinSetTrans", "WinWait",
+    "WinWaitActive", "WinWaitClose", "WinWaitNotActive",
+)
 MACROS = (
-    "AppDataCommonDir AppDataDir AutoItExe AutoItPID AutoItVersion AutoItX64 COM_EventObj CommonFilesDir Compiled ComputerName ComSpec CPUArch CR CRLF "
-    "DesktopCommonDir DesktopDepth DesktopDir DesktopHeight DesktopRefresh DesktopWidth DocumentsCommonDir error exitCode exitMethod extended "
-    "FavoritesCommonDir FavoritesDir GUI_CtrlHandle GUI_CtrlId GUI_DragFile GUI_DragId GUI_DropId GUI_WinHandle HomeDrive HomePath HomeShare "
-    "HotKeyPressed HOUR IPAddress1 IPAddress2 IPAddress3 IPAddress4 KBLayout LF LocalAppDataDir LogonDNSDomain LogonDomain LogonServer MDAY MIN MON "
-    "MSEC MUILang MyDocumentsDir NumParams OSArch OSBuild OSLang OSServicePack OSType OSVersion ProgramFilesDir ProgramsCommonDir ProgramsDir "
-    "ScriptDir ScriptFullPath ScriptLineNumber ScriptName SEC StartMenuCommonDir StartMenuDir StartupCommonDir StartupDir SW_DISABLE SW_ENABLE "
-    "SW_HIDE SW_LOCK SW_MAXIMIZE SW_MINIMIZE SW_RESTORE SW_SHOW SW_SHOWDEFAULT SW_SHOWMAXIMIZED SW_SHOWMINIMIZED SW_SHOWMINNOACTIVE SW_SHOWNA "
-    "SW_SHOWNOACTIVATE SW_SHOWNORMAL SW_UNLOCK SystemDir TAB TempDir TRAY_ID TrayIconFlashing TrayIconVisible UserName UserProfileDir WDAY "
-    "WindowsDir WorkingDir YDAY YEAR"
-).split()
+    "AppDataCommonDir", "AppDataDir", "AutoItExe", "AutoItPID", "AutoItVersion", "AutoItX64", "COM_EventObj", "CommonFilesDir", "Compiled",
+    "ComputerName", "ComSpec", "CPUArch", "CR", "CRLF", "DesktopCommonDir", "DesktopDepth", "DesktopDir", "DesktopHeight", "DesktopRefresh",
+    "DesktopWidth", "DocumentsCommonDir", "error", "exitCode", "exitMethod", "extended", "FavoritesCommonDir", "FavoritesDir", "GUI_CtrlHandle",
+    "GUI_CtrlId", "GUI_DragFile", "GUI_DragId", "GUI_DropId", "GUI_WinHandle", "HomeDrive", "HomePath", "HomeShare", "HotKeyPressed", "HOUR",
+    "IPAddress1", "IPAddress2", "IPAddress3", "IPAddress4", "KBLayout", "LF", "LocalAppDataDir", "LogonDNSDomain", "LogonDomain", "LogonServer",
+    "MDAY", "MIN", "MON", "MSEC", "MUILang", "MyDocumentsDir", "NumParams", "OSArch", "OSBuild", "OSLang", "OSServicePack", "OSType", "OSVersion",
+    "ProgramFilesDir", "ProgramsCommonDir", "ProgramsDir", "ScriptDir", "ScriptFullPath", "ScriptLineNumber", "ScriptName", "SEC",
+    "StartMenuCommonDir", "StartMenuDir", "StartupCommonDir", "StartupDir", "SW_DISABLE", "SW_ENABLE", "SW_HIDE", "SW_LOCK", "SW_MAXIMIZE",
+    "SW_MINIMIZE", "SW_RESTORE", "SW_SHOW", "SW_SHOWDEFAULT", "SW_SHOWMAXIMIZED", "SW_SHOWMINIMIZED", "SW_SHOWMINNOACTIVE", "SW_SHOWNA",
+    "SW_SHOWNOACTIVATE", "SW_SHOWNORMAL", "SW_UNLOCK", "SystemDir", "TAB", "TempDir", "TRAY_ID", "TrayIconFlashing", "TrayIconVisible", "UserName",
+    "UserProfileDir", "WDAY", "WindowsDir", "WorkingDir", "YDAY", "YEAR",
+)
 FIRST_OPERATOR = 0x40
 OPERATORS = (",", "=", ">", "<", "<>", ">=", "<=", "(", ")", "+", "-", "/", "*", "&", "[", "]", "==", "^", "+=", "-=", "/=", "*=", "&=", "?", ":")
 #: Opcodes with a number (kind, its form and the field that holds it) and with a string.

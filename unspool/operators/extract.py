@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -205,27 +207,60 @@ def decode_tokens(found: DataFrame, keep: tuple[str, ...] = ("binary_id", "recor
     return map_column(found, "bytes", TOKENS, kernel, [*keep])
 
 
-def text_runs(rows: DataFrame, keys: list[str], data: Column, wide: bool = False, least: int = 4) -> DataFrame:
-    """keys, offset, value of every run of printable characters in data, of one or (wide) two bytes each.
+def _runs(rows: DataFrame, keys: list[str], data: Column, passes: list[tuple[int, bool]], least: int, most: int | None) -> DataFrame:
+    """keys, pass, offset, value: the printable runs of each pass (its number, whether wide), `most` for each row and pass.
 
-    Bytes are read as Latin-1, so a character is a byte. The pattern cuts data into runs and what
-    lies between; a running sum of their lengths gives each run's offset.
+    The pattern keeps only runs that are long enough, so nothing is made of what lies between, and
+    a row's search ends with its last wanted run.
     """
-    pattern = "(?s)(?:[\\x20-\\x7e\\t]\\x00)+|." if wide else "[\\x20-\\x7e\\t]+|[^\\x20-\\x7e\\t]+"
-    cut = rows.select(*keys, F.posexplode(F.regexp_extract_all(F.decode(data, "ISO-8859-1"), F.lit(pattern), F.lit(0))).alias("pos", "run"))
-    order = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    cut = cut.withColumn("offset", F.coalesce(F.sum(F.length("run")).over(order), F.lit(0)).cast("long"))
-    whole = F.length("run") >= least * (2 if wide else 1)
-    cut = cut.where(whole & F.col("run").rlike("^[\\x20-\\x7e\\t]\\x00" if wide else "^[\\x20-\\x7e\\t]"))
-    return cut.select(*keys, "offset", (F.translate("run", "\x00", "") if wide else F.col("run")).alias("value"))
+    kept = StructType([rows.schema[c] for c in keys])
+    fields = "pass int, offset long, value string"
+    patterns = {wide: re.compile((b"(?:[\\x20-\\x7e\\t]\\x00)" if wide else b"[\\x20-\\x7e\\t]") + b"{%d,}" % max(1, least)) for _, wide in passes}
+    arrow = to_arrow_schema(StructType([*kept.fields, *StructType.fromDDL(fields).fields]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others, contents = batch.select(keys), batch.column("__data")
+            row, number, offset, value, held = [], [], [], [], 0
+
+            def out() -> pa.RecordBatch:
+                again = others.take(pa.array(row, pa.int32()))
+                return pa.RecordBatch.from_arrays([*again.columns, pa.array(number, pa.int32()), pa.array(offset, pa.int64()), pa.array(value, pa.binary()).cast(pa.string())], schema=arrow)
+
+            for i in range(batch.num_rows):
+                content = contents[i].as_py() or b""
+                for which, wide in passes:
+                    found = 0
+                    for m in itertools.islice(patterns[wide].finditer(content), None if wide else most):
+                        # A wide run's pass follows its alignment, and each has its own limit.
+                        row.append(i)
+                        number.append(which + (m.start() & 1 if wide else 0))
+                        offset.append(m.start())
+                        value.append(m[0][::2] if wide else m[0])
+                        found += 1
+                        held += len(value[-1]) + 32
+                        if held > 8 << 20:
+                            yield out()
+                            row, number, offset, value, held = [], [], [], [], 0
+                        if wide and most is not None and found >= 2 * most:
+                            break
+                    if not wide and most is not None and found >= most:
+                        # Later passes come after these, and there is no room for them.
+                        break
+            if row:
+                yield out()
+
+    return rows.select(*keys, data.alias("__data")).mapInArrow(run, StructType([*kept.fields, *StructType.fromDDL(fields).fields]))
+
+
+def text_runs(rows: DataFrame, keys: list[str], data: Column, wide: bool = False, least: int = 4) -> DataFrame:
+    """keys, offset, value of every run of printable characters in data, of one or (wide) two bytes each."""
+    return _runs(rows, keys, data, [(0, wide)], least, None).drop("pass")
 
 
 def strings(rows: DataFrame, least: int = 4, most: int = 4096) -> DataFrame:
     """binary_id, seq, record_index, offset, encoding, value: text in payloads, at most `most` a file in order of discovery."""
-    keys = ["binary_id", "record_index"]
-    narrow = text_runs(rows, keys, F.col("payload_data"), False, least).withColumns({"encoding": F.lit("Ascii"), "pass": F.lit(0)})
-    wide = text_runs(rows, keys, F.col("payload_data"), True, least).withColumns({"encoding": F.lit("Utf16Le"), "pass": (1 + F.col("offset") % 2).cast("int")})
-    found = narrow.unionByName(wide)
+    found = _runs(rows, ["binary_id", "record_index"], F.col("payload_data"), [(0, False), (1, True)], least, most)
     order = W.partitionBy("binary_id").orderBy("record_index", "pass", "offset")
     found = found.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= most)
-    return found.select("binary_id", (F.col("seq") - 1).alias("seq"), "record_index", "offset", "encoding", "value")
+    return found.select("binary_id", (F.col("seq") - 1).alias("seq"), "record_index", "offset", F.when(F.col("pass") == 0, "Ascii").otherwise("Utf16Le").alias("encoding"), "value")

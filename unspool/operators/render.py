@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from unspool.functions.native import lower_ascii
 from unspool.kernels import tokens as tok
 from unspool.operators.extract import decode_tokens
+from unspool.storage import materialize
 
 #: First words that end a block, begin one, or stand one level back on their own line.
 CLOSERS = ("WEnd", "Until", "Next", "EndSelect", "EndSwitch", "EndFunc", "EndIf")
@@ -134,14 +135,13 @@ def render(shown: DataFrame) -> DataFrame:
 def with_sources(found: DataFrame, functions: DataFrame | None = None) -> DataFrame:
     """scripts() with text, counts and errors of the tokenised ones filled in.
 
-    The scripts are read twice, for their facts and for their tokens: parse once and write or
-    persist the result where that costs more than it saves.
+    The scripts are decoded once, to a written table; their facts and their token rows are read from it.
     """
     keys = ["binary_id", "record_index"]
     whole = found.withColumnRenamed("bytes", "__bytes").withColumn("bytes", F.when(F.col("kind") == "Tokenized", F.col("__bytes")))
-    facts = decode_tokens(whole, tuple(c if c != "bytes" else "__bytes" for c in found.columns))
-    facts = facts.withColumn("token_count", F.size("tokens").cast("long")).drop("tokens")
-    sources = render(tokens(decode_tokens(found.where("kind = 'Tokenized'")), functions))
+    decoded = materialize(decode_tokens(whole, tuple(c if c != "bytes" else "__bytes" for c in found.columns)), "decoded")
+    facts = decoded.withColumn("token_count", F.size("tokens").cast("long")).drop("tokens")
+    sources = render(tokens(decoded.where("kind = 'Tokenized'"), functions))
     out = facts.join(sources, keys, "left")
     good = (F.col("kind") == "Tokenized") & F.col("error").isNull()
     return out.select(

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unspool.functions import native, udfs
-from unspool.kernels import payloads, records
+from unspool.kernels import payloads, records, unpack
 from unspool.kernels import tokens as tok
 from unspool.operators import extract, render
-from unspool.sources.binaries import report
+from unspool.schema import FAILURES
+from unspool.sources.binaries import escape_inline, failure_message, report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,7 +42,9 @@ def payload_rows(spark: SparkSession, sf_dir: str, kernel: Callable[[int, str],
     """binary_id and content that kernel makes of (doc_id, text). The kernels are CPU-bound, so rows are dealt out first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    both = docs.select(F.col("doc_id").alias("binary_id"), F.encode(F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.col("text")), "UTF-8").alias("source"))
+    # A document without id builds what one with id 0 would.
+    number = F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")
+    both = docs.select(F.col("doc_id").alias("binary_id"), F.encode(F.concat(number, F.lit("\n"), F.col("text")), "UTF-8").alias("source"))
 
     def make(source: bytes) -> dict:
         doc_id, text = source.split(b"\n", 1)
@@ -118,10 +121,10 @@ def find_bytes_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", native.find_bytes(F.encode("html", "UTF-8"), b"<article>").alias("at"))
 
 
-@query("""with c as (select doc_id, case doc_id % 4 when 0 then 'EA05 then EA06 AutoIt' when 1 then 'JB01 EA05 SCRIPT' when 2 then 'EA06 without' else 'AU3! only' end || text as t from documents where text is not null)
+@query("""with c as (select doc_id, case doc_id % 4 when 0 then 'EA05 then EA06 AutoIt' when 1 then 'JB01 EA05 SCRIPT' when 2 then 'EA06 without' else 'AU3! only' end || coalesce(text, '') as t from documents)
 select doc_id, case when doc_id % 4 = 0 then 'Ea06' when doc_id % 4 = 1 then 'Ea05' end as encoding, case when doc_id % 4 = 0 then 10::bigint when doc_id % 4 = 1 then 5::bigint end as at from c""")
 def loose_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     head = F.element_at(F.array(F.lit("EA05 then EA06 AutoIt"), F.lit("JB01 EA05 SCRIPT"), F.lit("EA06 without"), F.lit("AU3! only")), (F.col("doc_id") % 4 + 1).cast("int"))
     found = docs.select("doc_id", native.loose_version(F.encode(F.concat(head, "text"), "UTF-8")).alias("v"))
     return found.select("doc_id", "v.encoding", F.col("v.offset").alias("at"))
@@ -157,10 +160,14 @@ def lame_keystream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, udfs.lame_xor, 0x18EE)
 
 
-_MT = bytes.fromhex("b924fc8bfde8ba7f87b0d1525830669c")
-
-
-@query("select * from (values " + ", ".join(f"({k}::bigint, {b}::int)" for k, b in enumerate(_MT)) + ") t(pos, b)")
+@query("""with recursive seeded(i, x) as (select 0, 5882::ubigint union all
+    select i + 1, (1812433253::ubigint * xor(x, x >> 30) + (i + 1)::ubigint) % 4294967296::ubigint from seeded where i < 623),
+mixed as (select a.i as i, c.x as far, (a.x & 2147483648::ubigint) | (b.x & 2147483647::ubigint) as y from seeded a join seeded b on b.i = a.i + 1 join seeded c on c.i = a.i + 397 where a.i < 16),
+twisted as (select i, xor(xor(far, y >> 1), case when y % 2 = 1 then 2567483615::ubigint else 0::ubigint end) as v from mixed),
+t1 as (select i, xor(v, v >> 11) as v from twisted),
+t2 as (select i, xor(v, ((v << 7) & 4294967295::ubigint) & 2636928640::ubigint) as v from t1),
+t3 as (select i, xor(v, ((v << 15) & 4294967295::ubigint) & 4022730752::ubigint) as v from t2)
+select i::bigint as pos, ((xor(v, v >> 18) >> 1) & 255::ubigint)::int as b from t3""")
 def mt_keystream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, udfs.mt_xor, 0x16FA)
 
@@ -285,16 +292,29 @@ def rendered_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.with_sources(found, names).select(F.col("binary_id").alias("doc_id"), F.col("text").alias("source"), "line_count")
 
 
-@query("""with t as (select doc_id, doc_id % 5 - 1 as id from documents), f(id, name) as (values (0, 'Abs'), (1, 'ACos'), (248, 'MsgBox'))
+_NAMES = ", ".join(f"({k}, '{name}')" for k, name in enumerate(tok.FUNCTIONS))
+
+
+@query(f"""with t as (select doc_id, doc_id % 407 - 1 as id from documents), f(id, name) as (values {_NAMES})
 select doc_id, case when f.id is null then 'UnknownFunctionId' else 'Function' end as kind, coalesce(name, '<function:' || t.id || '>') as display from t left join f using (id)""")
 def function_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").alias("binary_id"), F.lit(0).cast("long").alias("record_index"), F.lit(0).alias("pos"), F.lit(0).alias("line_no"), F.lit("FunctionId").alias("kind"), F.lit(None).cast("string").alias("text"), (F.col("doc_id") % 5 - 1).cast("int").alias("i"), F.lit(None).cast("decimal(20,0)").alias("u"), F.lit(None).cast("double").alias("f"))
-    names = spark.createDataFrame([(0, "Abs"), (1, "ACos"), (248, "MsgBox")], "id int, name string")
-    found = render.look_up(rows, names)
+    rows = docs.select(F.col("doc_id").alias("binary_id"), F.lit(0).cast("long").alias("record_index"), F.lit(0).alias("pos"), F.lit(0).alias("line_no"), F.lit("FunctionId").alias("kind"), F.lit(None).cast("string").alias("text"), (F.col("doc_id") % 407 - 1).cast("int").alias("i"), F.lit(None).cast("decimal(20,0)").alias("u"), F.lit(None).cast("double").alias("f"))
+    found = render.look_up(rows)
     return found.select(F.col("binary_id").alias("doc_id"), "kind", render.display(F.col("kind"), F.col("text"), F.col("i"), F.col("u")).alias("display"))
 
 
+@query(f"""with t as (select doc_id, doc_id % 406 as id from documents), f(id, name) as (values {_NAMES})
+select doc_id, coalesce(name, 'nOt A fUNCTION') as name from t left join f using (id)""")
+def function_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every function name, in capitals or small letters, gets its canonical spelling."""
+    docs = table(spark, sf_dir, "documents")
+    known = F.get(F.split(F.lit(" ".join(tok.FUNCTIONS)), " "), (F.col("doc_id") % 406).cast("int"))
+    written = F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.upper(known)).otherwise(F.lower(known)), F.lit("nOt A fUNCTION"))
+    rows = docs.select(F.col("doc_id").alias("binary_id"), F.lit(0).cast("long").alias("record_index"), F.lit(0).alias("pos"), F.lit(0).alias("line_no"), F.lit("FunctionString").alias("kind"), written.alias("text"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("decimal(20,0)").alias("u"), F.lit(None).cast("double").alias("f"))
+    return render.look_up(rows).select(F.col("binary_id").alias("doc_id"), F.col("text").alias("name"))
+
+
 _WRITTEN = ("ENDIF", "endif", "elseIF", "scriptname", "nothing", "CR")
 
 
@@ -328,13 +348,93 @@ def records_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
         from unspool_payloads, lateral parse_records(content, 24, 'Ea06') group by binary_id""")
 
 
-@query()
+@query("""with t as (select doc_id, coalesce(text, '') as t, regexp_extract_all(substr(hex(coalesce(text, '')), 3), '....') as h from documents),
+units as (select doc_id, t, list_transform(h, lambda x: ('0x' || x[3:4] || x[1:2])::int) as u from t)
+select doc_id, case when t = '' then '' else repeat(chr(65533), (strlen(left(t, 1)) - 1)::bigint) || substr(t, 2) end as narrow,
+    case when t = '' then '' when strlen(t) % 2 = 1 then array_to_string(list_transform(u, lambda x, i: case
+        when x between 55296 and 56319 and coalesce(u[i + 1], 0) between 56320 and 57343 then chr(65536 + (x - 55296) * 1024 + u[i + 1] - 56320)
+        when x between 56320 and 57343 and i > 1 and coalesce(u[i - 1], 0) between 55296 and 56319 then ''
+        when x between 55296 and 57343 then chr(65533) else chr(x) end), '') end as wide from units""")
 def lossy_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     cut = F.substring(F.col("data"), F.lit(2), F.octet_length("data"))
     return docs.select("doc_id", extract.utf8_lossy(cut).alias("narrow"), extract.utf16_lossy(cut).alias("wide"))
 
 
+def _single(doc_id: int, text: str) -> bytes:
+    return payloads.container("Ea06", records.encode("Ea06", payloads.PLAIN, "s" * (doc_id % 50), text.encode()))
+
+
+_STOPPED = "select doc_id, case when {over} then 0 else 1 end as n_records, case when {over} then 'LimitExceeded' end as reason from documents"
+
+
+def _stops(spark: SparkSession, sf_dir: str, kernel, limits: records.Limits) -> DataFrame:
+    parsed = extract.parse(payload_rows(spark, sf_dir, kernel), limits, blobs=())
+    return parsed.select(F.col("binary_id").alias("doc_id"), F.size("records").alias("n_records"), F.col("diagnostic.reason").alias("reason"))
+
+
+@query(_STOPPED.format(over="strlen(coalesce(text, '')) > 1000"))
+def blob_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stops(spark, sf_dir, _single, records.Limits(max_encrypted_blob_size=1000))
+
+
+@query(_STOPPED.format(over="2 * (doc_id % 50) > 60"))
+def metadata_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stops(spark, sf_dir, _single, records.Limits(max_metadata_string_bytes=60))
+
+
+def _unpacked(spark: SparkSession, sf_dir: str, kernel, limits: records.Limits) -> DataFrame:
+    found = extract.records(extract.parse(payload_rows(spark, sf_dir, kernel), limits))
+    return found.select(F.col("binary_id").alias("doc_id"), F.col("decompression.kind").alias("kind"), F.col("decompression.reason").alias("reason"), F.octet_length("decompressed_data").cast("long").alias("n_bytes"))
+
+
+@query("select doc_id, case when strlen(coalesce(text, '')) > 500 then 'Failed' else 'Decompressed' end as kind, case when strlen(coalesce(text, '')) > 500 then 'LimitExceeded' end as reason, case when strlen(coalesce(text, '')) <= 500 then strlen(coalesce(text, ''))::bigint end as n_bytes from documents")
+def output_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(doc_id: int, text: str) -> bytes:
+        return payloads.container("Ea06", records.encode("Ea06", payloads.PLAIN, "s", payloads.packed("Ea06", text.encode()), packed=True))
+
+    return _unpacked(spark, sf_dir, make, records.Limits(max_decompressed_blob_size=500))
+
+
+@query("""select doc_id, case when doc_id % 4 < 2 then 'Failed' else 'Decompressed' end as kind, case doc_id % 4 when 0 then 'CompressionError' when 1 then 'Truncated' end as reason,
+    case when doc_id % 4 > 1 then strlen(coalesce(text, '') || '.')::bigint end as n_bytes from documents""")
+def broken_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record whose blob is broken is a record with a reason; blobs of literals alone are as good as others."""
+
+    def make(doc_id: int, text: str) -> bytes:
+        blob = unpack.deflate_lz((text + ".").encode(), b"EA06", matches=doc_id % 4 == 3)
+        blob = b"EA99" + blob[4:] if doc_id % 4 == 0 else blob[:8] if doc_id % 4 == 1 else blob
+        return payloads.container("Ea06", records.encode("Ea06", payloads.PLAIN, "s", blob, packed=True))
+
+    return _unpacked(spark, sf_dir, make, records.Limits())
+
+
+@query("select doc_id, case doc_id % 3 when 0 then 'Truncated' when 1 then 'BadString' end as reason, case when doc_id % 3 = 2 then 1::bigint end as line_count, case when doc_id % 3 = 2 then '$x' || chr(13) || chr(10) end as source from documents")
+def token_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(doc_id: int, text: str) -> bytes:
+        stream = tok.stream([tok.string_token(0x33, "x")])
+        stream = stream[:-1] if doc_id % 3 == 0 else stream[:4] + b"\x33\x00\x00\x01\x00ab" if doc_id % 3 == 1 else stream
+        return payloads.container("Ea06", records.encode("Ea06", payloads.TOKENIZED, "t", stream))
+
+    found = render.with_sources(extract.scripts(extract.records(extract.parse(payload_rows(spark, sf_dir, make)))))
+    return found.select(F.col("binary_id").alias("doc_id"), F.col("decode_error.reason").alias("reason"), "line_count", F.col("text").alias("source"))
+
+
+@query(r"""select doc_id, array_to_string(list_transform(string_split(replace(replace(replace(coalesce(text, '') || chr(7) || chr(133), chr(10), '\n'), chr(13), '\r'), chr(9), '\t'), ''),
+    lambda c: case when c <> '' and (unicode(c) < 32 or unicode(c) between 127 and 159) then '\u{' || lpad(lower(to_hex(unicode(c))), 4, '0') || '}' else c end), '') as line from documents""".replace("\\\\", "\\"))
+def escaped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", escape_inline(F.concat(F.coalesce("text", F.lit("")), F.lit("\x07\x85"))).alias("line"))
+
+
+@query("""with m(id, message) as (values """ + ", ".join(f"({k}, '{text.replace(chr(39), chr(39) * 2)}')" for k, text in enumerate(FAILURES.values())) + """)
+select doc_id, message from documents left join m on id = doc_id % 9""")
+def failure_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    failure = F.get(F.array(*map(F.lit, FAILURES)), (F.col("doc_id") % 9).cast("int"))
+    return docs.select("doc_id", failure_message(failure).alias("message"))
+
+
 @query("select doc_id, 'Ea06' as encoding, 1::bigint as n_scripts, 1::bigint as n_artifacts from documents")
 def recovered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = extract.parse(payload_rows(spark, sf_dir, lambda doc_id, text: payloads.script_payload("Ea06", text, False)))

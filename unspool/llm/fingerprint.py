@@ -2,11 +2,11 @@
 
 A text's sketch keeps every distinct shingle hash (five words) below a fixed fraction of the hash
 range. As all sketches share the threshold, the sketch of a union is the union of the sketches and
-containment can be estimated between texts of very unequal length. A text of at most WHOLE
-distinct shingles keeps them all, as too few would lie below the threshold: two such texts are compared exactly, and
-with any longer text by what lies below the threshold. A fingerprint is a string: the 16 hex digits
-of a digest of all shingles, `=` where all hashes are kept or `~`, then 10 hex digits for each kept
-hash, ascending.
+containment can be estimated between texts of very unequal length. A text of at most FEW shingles,
+WHOLE of them distinct, keeps them all, as too few would lie below the threshold: two such texts are
+compared exactly, and with any longer text by what lies below the threshold. A fingerprint is a
+string: the 16 hex digits of a digest of all shingles, `=` where all hashes are kept or `~`, then 10
+hex digits for each kept hash, ascending.
 
 Defined results: a null text counts as empty; a text without words has the fingerprint of sixteen
 zeros and `=`; fewer words than five make one shingle; a text of any length is read whole. Where
@@ -26,8 +26,8 @@ from unspool.llm.common import SPACE_CHARS, lower_ascii, shuffle_partitions
 WIDTH = 5
 #: Bits of a hash, and the share of the range that a sketch keeps: one of 2**SCALE_BITS.
 HASH_BITS, SCALE_BITS = 40, 2
-#: Distinct shingles up to which a sketch keeps all hashes.
-WHOLE = 128
+#: Shingles and distinct shingles up to which a sketch keeps all hashes.
+FEW, WHOLE = 1024, 128
 #: Bytes of text for which a bucket of neighbouring ids is made, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 1 << 16
 
@@ -60,12 +60,15 @@ def sketch(text: Column, width: int = WIDTH, scale_bits: int = SCALE_BITS) -> Co
     mask, limit = (1 << HASH_BITS) - 1, 1 << (HASH_BITS - scale_bits)
 
     def of(hashes: Column) -> Column:
+        low = lambda h: h.bitwiseAND(F.lit(mask))
+        own = F.array_distinct(F.transform(F.filter(hashes, lambda h: (F.size(hashes) <= FEW) | (low(h) < limit)), low))
+
         def kept(own: Column) -> Column:
-            whole = F.size(own) <= WHOLE
-            hashes_kept = F.sort_array(F.when(whole, own).otherwise(F.filter(own, lambda h: h < limit)))
+            whole = (F.size(hashes) <= FEW) & (F.size(own) <= WHOLE)
+            hashes_kept = F.sort_array(F.when(whole | (F.size(hashes) > FEW), own).otherwise(F.filter(own, lambda h: h < limit)))
             return F.struct(F.when(F.size(hashes) > 0, F.xxhash64(hashes)).otherwise(F.lit(0)).alias("digest"), whole.alias("whole"), F.lit(limit).alias("limit"), hashes_kept.alias("kept"))
 
-        return _let(F.array_distinct(F.transform(hashes, lambda h: h.bitwiseAND(F.lit(mask)))), kept)
+        return _let(own, kept)
 
     return _let(shingle_hashes(text, width), of)
 

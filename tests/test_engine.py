@@ -162,6 +162,95 @@ def test_files_names_and_report(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_report_line_by_line(spark):
+    """Every line of the report of one file, written out."""
+    import zlib
+
+    whole = payloads.script_payload("Ea06", "line one\n\x01two", False, "s")
+    parsed = extract.parse(files(spark, whole))
+    rows = extract.records(parsed)
+    lines = [r.line for r in binaries.report(parsed, extract.scripts(rows), extract.artifacts(rows), extract.strings(rows)).orderBy("section", "seq").collect()]
+    text, other = b"line one\n\x01two", b"bytes of s"
+    second = 24 + len(records.encode("Ea06", payloads.PLAIN, "s", text))
+    fact = lambda k, at, subtype, name, data, made: [
+        f"  #{k} @ offset {at}", f"    subtype: {subtype}", f"    name: {name}", "    profile: encoding=Ea06 encryption=Ea06Lame compression=None", f"    compressed: false (compressed_size={len(data)}, uncompressed_size={len(data)})",
+        f"    checksum: 0x{zlib.adler32(data):08x} (valid)", f"    timestamps: created={made[0]} last_write={made[1]}", f"    data sizes: encrypted={len(data)} decrypted={len(data)} decompressed=none", "    decompression: NotCompressed",
+    ]
+    seen = [r.line for r in parsed.select(F.explode("observations").alias("o")).selectExpr("concat('  ', o.kind, coalesce(concat(' ', o.encoding), ''), coalesce(concat(' @ offset ', o.offset), '')) as line").collect()]
+    want = ["== overview ==", "  input kind: A3x", "  encoding: Ea06", "  records: 2", "  scripts: 1", "  artifacts: 1", "  strings: 2", "  record diagnostics: 0"]
+    want += ["== container ==", "  signature offset: 0", "  version marker: Ea06 @ offset 20", "  payload stream offsets: [24]", "  pe script resource: none", "  packed markers: none", f"== observations ({len(seen)}) ==", *seen]
+    want += ["== records (2) ==", *fact(0, 24, ">AUTOIT SCRIPT<", "s", text, (1, 2)), *fact(1, second, "payload", "s.bin", other, (0, 0))]
+    want += ["== scripts (1) ==", f"  record #0 s PlainText {len(text)} bytes", "    | line one", "    | \x01two"]
+    want += ["== artifacts (1) ==", f"  record #1 s.bin {len(other)} bytes", "== strings (2) ==", "  record #0 offset 0 Ascii: line one", "  record #1 offset 0 Ascii: bytes of s"]
+    assert lines == want
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 5, 9, 4096])
+def test_capped_strings_are_the_first_ones(spark, most):
+    """The cap of a file holds over its records and passes, in order of discovery."""
+    import random
+    import re
+
+    rng = random.Random(11)
+    wide = lambda t: t.encode("utf-16-le")
+    datas = [b"".join(rng.choice((b"abcd\x01", wide("WXYZ"), b"\x00", b"\x02", wide("longer text"), b"tab\there ")) for _ in range(rng.randrange(12))) for _ in range(30)]
+    rows = [(k // 3, k % 3, bytearray(d)) for k, d in enumerate(datas)]
+    frame = spark.createDataFrame(rows, "binary_id long, record_index long, payload_data binary").repartition(5)
+    want = []
+    for file in range(10):
+        own = []
+        for _, index, data in rows[3 * file : 3 * file + 3]:
+            found = [(0, m.start(), "Ascii", m[0].decode()) for m in re.finditer(rb"[\x20-\x7e\t]{4,}", bytes(data))]
+            found += [(1 + m.start() % 2, m.start(), "Utf16Le", m[0][::2].decode()) for m in re.finditer(rb"(?:[\x20-\x7e\t]\x00){4,}", bytes(data))]
+            own += [(index, *f) for f in sorted(found)]
+        want += [(file, seq, x[0], x[2], x[3], x[4]) for seq, x in enumerate(own[:most])]
+    got = extract.strings(frame, most=most).select("binary_id", "seq", "record_index", "offset", "encoding", "value").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_large_payload_of_text(spark):
+    """A payload of 64 MiB of text and of wide text is searched in one pass; the cap ends the search early."""
+    frame = spark.createDataFrame([(1, 0, bytearray(b"some text of a line\n" * 3_300_000))], "binary_id long, record_index long, payload_data binary")
+    assert extract.text_runs(frame, ["binary_id"], F.col("payload_data")).agg(F.count("*"), F.sum(F.length("value"))).first()[:] == (3_300_000, 3_300_000 * 19)
+    assert extract.strings(frame).agg(F.count("*"), F.max("offset")).first()[:] == (4096, 4095 * 20)
+
+
+def test_command_line_prints_names(tmp_path, capsys, spark):
+    from unspool.__main__ import main
+
+    stream = tok.stream([tok.number_token(0x01, 248) + tok.operator_token("(") + tok.operator_token(")")])
+    (tmp_path / "a.a3x").write_bytes(payloads.container("Ea06", records.encode("Ea06", payloads.TOKENIZED, "t", stream)))
+    (tmp_path / "b.bin").write_bytes(b"nothing")
+    assert main([str(tmp_path)]) == 0
+    said = capsys.readouterr()
+    assert "    | MsgBox()" in said.out and "nothing in the input marks a compiled script" in said.err
+    (tmp_path / "names.tsv").write_text("248\tOther\n")
+    assert main([str(tmp_path / "a.a3x"), str(tmp_path / "names.tsv")]) == 0 and "    | Other()" in capsys.readouterr().out
+    assert main([]) == 2
+
+
+def test_shared_folder(spark, monkeypatch):
+    """Written tables are deleted by name; a cluster without a shared folder is refused."""
+    from pathlib import Path
+
+    from unspool import storage
+
+    one, two = storage.materialize(spark.range(3), "one"), storage.materialize(spark.range(4), "two")
+    paths = storage.written(spark)[-2:]
+    storage.delete(spark, paths[:1])
+    assert storage.written(spark)[-1] == paths[1] and not Path(paths[0]).exists() and two.count() == 4 and one is not two
+    assert storage.shared_dir(spark) in paths[1]
+
+    class Elsewhere:
+        conf = {}
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Elsewhere)
+
+
 def test_damaged_rows_dont_fail(spark):
     whole = payloads.script_payload("Ea06", "text " * 20, True)
     cuts = [whole[:k] for k in range(0, len(whole), 7)] + [struct.pack("<I", 7) + whole, bytes(40) + records.MARKER[ciphers.MT] * 3]

@@ -154,3 +154,35 @@ def test_damage_never_raises(encoding, packed, at, value, cut):
 def test_fixed_tables():
     assert (len(tokens.KEYWORDS), len(tokens.MACROS), len(tokens.OPERATORS)) == (45, 102, 25)
     assert len({k.lower() for k in tokens.KEYWORDS}) == 45 and len({m.lower() for m in tokens.MACROS}) == 102
+
+
+def test_trees_equal_those_of_a_heap():
+    """Two ascending queues take nodes in the order of (count, place), as a heap does."""
+    import heapq
+    import random
+
+    rng = random.Random(3)
+    for symbols in (2, 5, 32, 288):
+        code = unpack.AdaptiveCode(symbols)
+        for _ in range(20):
+            code.counts = [rng.choice((1, 1, 2, 3, 7, 40)) for _ in range(symbols)]
+            code._build()
+            heap, kids = [(c, i) for i, c in enumerate(code.counts)], [0] * (4 * symbols - 2)
+            heapq.heapify(heap)
+            for node in range(symbols, 2 * symbols - 1):
+                (c1, a), (c2, b) = heapq.heappop(heap), heapq.heappop(heap)
+                kids[2 * node], kids[2 * node + 1] = a, b
+                heapq.heappush(heap, (c1 + c2, node))
+            assert code.kids == kids
+
+
+def test_adaptive_stream_of_44_kilobytes_and_its_cuts():
+    import random
+
+    rng = random.Random(8)
+    text = b"".join(rng.choice((b"Local $value = ", b"ConsoleWrite(", b"EndFunc\r\n", bytes([rng.randrange(256)]))) for _ in range(6000))[:44_000]
+    blob = unpack.deflate_adaptive(text)
+    assert unpack.inflate(blob) == (text, None)
+    assert unpack.inflate(unpack.deflate_adaptive(text, b"JB00"))[0] == text
+    for cut in (8, 9, 15, 16, 17, 1000, len(blob) - 2):
+        assert unpack.inflate(blob[:cut]) == (None, "Truncated")

@@ -1,4 +1,7 @@
-"""python -m unspool PATH: print the text report of a file or of all files in a folder."""
+"""python -m unspool PATH [FUNCTIONS]: print the text report of a file or of all files in a folder.
+
+FUNCTIONS: a TSV of function ids and names that takes the place of the known ones.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +10,18 @@ import sys
 from pyspark.sql import SparkSession
 
 from unspool.operators import extract, render
-from unspool.sources.binaries import failure_message, read_binaries, report
+from unspool.sources.binaries import failure_message, read_binaries, read_names, report
 
 
 def main(args: list[str]) -> int:
-    if len(args) != 1:
-        print("usage: python -m unspool PATH", file=sys.stderr)
+    if len(args) not in (1, 2):
+        print("usage: python -m unspool PATH [FUNCTIONS]", file=sys.stderr)
         return 2
     spark = SparkSession.builder.getOrCreate()
     parsed = extract.parse(read_binaries(spark, args[0]))
     rows = extract.records(parsed)
-    lines = report(parsed, render.with_sources(extract.scripts(rows)), extract.artifacts(rows), extract.strings(rows))
+    functions = read_names(spark, args[1]) if len(args) == 2 else None
+    lines = report(parsed, render.with_sources(extract.scripts(rows), functions), extract.artifacts(rows), extract.strings(rows))
     file = None
     # Rows come one partition at a time.
     for r in lines.orderBy("binary_id", "section", "seq").toLocalIterator():

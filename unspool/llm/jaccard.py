@@ -12,7 +12,7 @@ hash into row blocks, and every pair of blocks is a task of its own. A product g
 number of links and its smallest linked row, never a list of pairs.
 
 Texts with the same set are one class and stand as one row in the product. The number of column
-blocks follows the bytes of text, so a block stays as large at any size of the table; an n-gram
+blocks follows the bytes of text, so a block's size is bounded at any size of the table; an n-gram
 that many documents of a batch hold travels to its block as one entry with their number, so a very
 common n-gram doesn't gather in one block.
 
@@ -42,8 +42,8 @@ WIDTH = 5
 SHARE = (75, 100)
 #: Entries and rows of the incidence that a task holds before it deals them out.
 FLUSH_ENTRIES, FLUSH_ROWS = 1 << 20, 60_000
-#: Bytes of text whose entries make a column block.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text whose entries make a column block: the first up to FINE_BLOCKS blocks, so that tasks get evenly many, then up to the second.
+BLOCK_BYTES, MOST_BYTES, FINE_BLOCKS = 1 << 19, 1 << 24, 1 << 14
 #: Documents of a batch from which on an n-gram of theirs is one entry.
 COMMON = 32
 #: Rows of a block of the product, and columns that are multiplied at once.
@@ -372,7 +372,7 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, tag: Column | None = N
     small_batches(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(0) if tag is None else tag).cast("long").alias("tag"), "text")
     size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()["size"]
-    blocks = max(64, -(-size // BLOCK_BYTES))
+    blocks = max(64, min(-(-size // BLOCK_BYTES), FINE_BLOCKS), -(-size // MOST_BYTES))
     dealt = known.mapInArrow(_deal(blocks), "block long, batch long, blob binary")
     back = dealt.groupBy("block").applyInArrow(_count, "block long, batch long, blob binary")
     rows = back.groupBy("batch").applyInArrow(_assemble(share, blocks), "doc_id long, tag long, n long, d1 long, d2 long, grams binary")

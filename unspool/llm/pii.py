@@ -253,7 +253,7 @@ def replacement(key: str, mention: Column, attempt_of) -> Column:
 
     def with_norm(kind: Column, norm: Column) -> Column:
         name = kind.isin("female", "male")
-        new = F.when(name, _new_name(key, kind, norm, attempt_of)).otherwise(surrogate(key, kind, norm, attempt_of(kind, norm), names=False))
+        new = F.when(name, _new_name(key, kind, norm, attempt_of)).otherwise(_let(attempt_of(kind, norm), lambda attempt: surrogate(key, kind, norm, attempt, names=False)))
         digits = F.regexp_replace(mention, "[^0-9]", "")
 
         def written(new: Column) -> Column:
@@ -298,19 +298,22 @@ def later_candidates(found: DataFrame, key: str) -> DataFrame:
 
     Each round compares all entities' candidates with each other and with the entities themselves.
     """
-    current = materialize(found.withColumn("attempt", F.lit(0)), "entities")
-    while True:
+    def made(rows: DataFrame) -> DataFrame:
         # Names are compared as their normal forms are, whatever their case.
         new = surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))
-        made = current.withColumn("new", F.when(F.col("kind").isin("female", "male", "last"), F.lower(new)).otherwise(new))
+        return rows.select("kind", "norm", "attempt", F.when(F.col("kind").isin("female", "male", "last"), F.lower(new)).otherwise(new).alias("new"))
+
+    current = materialize(made(found.withColumn("attempt", F.lit(0))), "candidates")
+    while True:
         # Of those that share a candidate the one with the fewest attempts, then the smaller, keeps it.
-        kept = made.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm"))["norm"].alias("first")).where("n > 1")
-        shared = made.join(kept, ["kind", "new"]).where(F.col("norm") != F.col("first")).select("kind", "norm")
-        real = made.join(current.select("kind", F.col("norm").alias("new")), ["kind", "new"], "left_semi").select("kind", "norm")
-        losers = materialize(shared.union(real).distinct().withColumn("lost", F.lit(1)), "collisions")
+        kept = current.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm"))["norm"].alias("first")).where("n > 1")
+        shared = current.join(kept, ["kind", "new"]).where(F.col("norm") != F.col("first")).select("kind", "norm")
+        real = current.join(current.select("kind", F.col("norm").alias("new")), ["kind", "new"], "left_semi").select("kind", "norm")
+        losers = materialize(shared.union(real).distinct(), "collisions")
         if losers.isEmpty():
-            return current.where("attempt > 0")
-        current = materialize(current.join(losers, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt")), "entities")
+            return current.where("attempt > 0").select("kind", "norm", "attempt")
+        moved = current.join(losers, ["kind", "norm"], "left_semi").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
+        current = materialize(current.join(losers, ["kind", "norm"], "left_anti").unionByName(made(moved)), "candidates")
 
 
 def _rewritten(key: str, parts: Column, attempt_of) -> Column:

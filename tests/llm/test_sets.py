@@ -36,6 +36,35 @@ def test_query_agrees_with_sql(spark, duck, data_dir, name):
     agree(queries.QUERIES[name](spark, data_dir), duck, queries.ORACLE_SQL[name])
 
 
+def test_odd_rows_agree_with_sql(spark, tmp_path):
+    """The SQL of URL rules and of decontamination on odd URLs, and on items and texts of one sentence, two words or none."""
+    import duckdb
+
+    rng = random.Random(11)
+    urls = [None, "", "no scheme/org/", "://x.org/en/1", "http://A.Example.ORG/es/1", "http://x.net/de/5://y", "http://x.org?a/b", "http://x..com/fr/#a", "ftp://Example.com", "http://-/a//b"]
+    for _ in range(300):
+        kind = rng.choice(["org", "com", "net"])
+        urls.append(f"http://{rng.choice(['www', 'm', 'a-b'])}.example.{kind}/{rng.choice(['es', 'en', 'de', 'fr'])}/{rng.randrange(30)}{rng.choice(['', '?page=1', '?q=2&Ref=x', '.html'])}")
+    stock = [f"{a}{b}" for a in ("öl", "be", "TA", "rÉ") for b in range(60)]
+    say = lambda n: " ".join(rng.choices(stock, k=n))
+    items = [(1, None), (2, ""), (3, "..."), (None, "a b c d e f"), (4, "Yes"), (5, "Not, now!"), (6, "yes"), (7, "a b c")]
+    items += [(k, f"{say(rng.randrange(3, 30))}{rng.choice(['. ', '?', chr(10), '! '])}{say(rng.randrange(1, 12))}.") for k in range(8, 40)]
+    texts = [None, "", "He said yes and no. Yes! But not now.", "one\nnot now\ntwo", "Yes.no yes", "a. yes", "Not now. Not", "A B C", say(3000)]
+    for _, text in items[8:]:
+        words = text.split()
+        for _ in range(4):
+            a, b = rng.randrange(6), rng.randrange(6)
+            texts.append(f"{say(rng.randrange(60))} {' '.join(words[a : len(words) - b])} {say(rng.randrange(60))}")
+    con = duckdb.connect()
+    for name, rows, columns in (("pages", list(enumerate(urls)), "page_id long, url string"), ("benchmark", items, "item_id long, text string"), ("documents", list(enumerate(texts)), "doc_id long, text string")):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for name, column in (("op8_url_rules", "mined_rule"), ("op9_decontaminate", "contaminated")):
+        frame = queries.QUERIES[name](spark, str(tmp_path))
+        agree(frame, con, queries.ORACLE_SQL[name])
+        assert 10 < frame.where(f"{column} is not null and {column} <> 'false'").count() < frame.count()
+
+
 def plain_fingerprints(rows):
     """doc_id to (n_chars, edited text, Jaccard to the edited, Jaccard to the next)."""
     rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

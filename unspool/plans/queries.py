@@ -17,6 +17,7 @@ from unspool.kernels import tokens as tok
 from unspool.operators import extract, render
 from unspool.schema import FAILURES
 from unspool.sources.binaries import escape_inline, failure_message, report
+from unspool.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -443,8 +444,36 @@ def recovered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.binaries(parsed).join(per_file, "binary_id").select(F.col("binary_id").alias("doc_id"), "encoding", "n_scripts", "n_artifacts")
 
 
-@query()
+#: Every line of the report on a file of one stored script and one other record; both sizes of both headers are fixed.
+_REPORT = rf"""with recs as (
+    select doc_id, 0 as k, 24 as start_, '>AUTOIT SCRIPT<' as subtype, 'script' as name, coalesce(text, '') as t, 1 as made, 2 as changed from documents
+    union all select doc_id, 1, 107 + strlen(coalesce(text, '')), 'payload', 'script.bin', 'bytes of script', 0, 0 from documents),
+summed as (select *, strlen(t) as n, {_BYTES.replace("(h,", "(hex(t),")} as b from recs),
+checked as (select * exclude (b), (((n + coalesce(list_sum(list_transform(b, lambda x, i: (n - i + 1) * x)), 0)) % 65521) * 65536 + (1 + coalesce(list_sum(b), 0)) % 65521)::bigint as checksum from summed),
+runs as (select doc_id, k, unnest(r) as v, generate_subscripts(r, 1) as i from (select doc_id, k, regexp_extract_all(t, '[\x20-\x7e\t]+|[^\x20-\x7e\t]+') as r from recs)),
+placed as (select *, coalesce(sum(strlen(v)) over (partition by doc_id, k order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start_ from runs),
+said as (select *, row_number() over (partition by doc_id order by k, i) - 1 as seq from placed where {_LONG} qualify seq < 4096),
+counted as (select doc_id, count(*) as n from said group by doc_id),
+blocks(section, seq, line) as (values (2, 0, '== container =='), (2, 1, '  signature offset: 0'), (2, 2, '  version marker: Ea06 @ offset 20'), (2, 3, '  payload stream offsets: [24]'), (2, 4, '  pe script resource: none'), (2, 5, '  packed markers: none'),
+    (3, -1, '== observations (5) =='), (3, 0, '  AutoItSignatureFound @ offset 0'), (3, 1, '  VersionMarkerFound Ea06 @ offset 20'), (3, 2, '  PayloadStreamStartFound @ offset 24'), (3, 3, '  FirstFileRecordDecrypted Ea06 @ offset 24'), (3, 4, '  KnownSubtypeDecrypted Ea06 @ offset 24'),
+    (4, -1, '== records (2) =='), (6, -1, '== scripts (1) =='), (7, -1, '== artifacts (1) =='), (7, 1, '  record #1 script.bin 15 bytes')),
+overview as (select doc_id, unnest(['== overview ==', '  input kind: A3x', '  encoding: Ea06', '  records: 2', '  scripts: 1', '  artifacts: 1', '  strings: ' || n, '  record diagnostics: 0']) as line, unnest(range(8)) as seq from counted),
+facts as (select doc_id, k, unnest(range(9)) as j, unnest(['  #' || k || ' @ offset ' || start_, '    subtype: ' || subtype, '    name: ' || name, '    profile: encoding=Ea06 encryption=Ea06Lame compression=None',
+    '    compressed: false (compressed_size=' || n || ', uncompressed_size=' || n || ')', '    checksum: 0x' || lpad(lower(to_hex(checksum)), 8, '0') || ' (valid)', '    timestamps: created=' || made || ' last_write=' || changed,
+    '    data sizes: encrypted=' || n || ' decrypted=' || n || ' decompressed=none', '    decompression: NotCompressed']) as line from checked),
+sources as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as seq from (select doc_id, string_split_regex(t, '\r?\n') as l from recs where k = 0))
+select doc_id as binary_id, 1 as section, seq::bigint as seq, line from overview
+union all select doc_id, section, seq, line from documents, blocks
+union all select doc_id, 4, k * 16 + j, line from facts
+union all select doc_id, 6, 0, '  record #0 script PlainText ' || n || ' bytes' from checked where k = 0
+union all select doc_id, 6, seq, '    | ' || line from sources
+union all select doc_id, 8, -1, '== strings (' || n || ') ==' from counted
+union all select doc_id, 8, seq, '  record #' || k || ' offset ' || start_ || ' Ascii: ' || replace(v, chr(9), '\t') from said"""
+
+
+@query(_REPORT)
 def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = extract.parse(payload_rows(spark, sf_dir, lambda doc_id, text: payloads.script_payload("Ea06", text, False)))
+    # The report reads each in several places.
+    parsed = materialize(extract.parse(payload_rows(spark, sf_dir, lambda doc_id, text: payloads.script_payload("Ea06", text, False))), "parsed")
     rows = extract.records(parsed)
-    return report(parsed, extract.scripts(rows), extract.artifacts(rows), extract.strings(rows))
+    return report(parsed, extract.scripts(rows), extract.artifacts(rows), materialize(extract.strings(rows), "strings"))

@@ -118,6 +118,51 @@ def test_ordered_fold(spark):
     assert extract.first_of(row).first().first_stream_offset == 9
 
 
+def marked(encoding):
+    """A text of which the encoding's encrypted bytes hold the three bytes of a packed marker."""
+    layout = records.LAYOUTS[encoding]
+    key = ciphers.keystream(layout.cipher, layout.data_key + (sum(payloads.SALT) if layout.salted else 0), 4000)
+    for at in range(3990):
+        part = bytes(a ^ b for a, b in zip(key[at:], b"UPX"))
+        if all(0x20 <= c < 0x7F for c in part):
+            return "x" * at + part.decode()
+
+
+def documents(tmp_path, *rows):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}), tmp_path / "documents.parquet")
+    return str(tmp_path)
+
+
+def own_tables(path):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}/documents.parquet'")
+    return con
+
+
+def test_chance_markers_in_encrypted_bytes(spark, tmp_path):
+    """A marker in the whole file is noted, as ever; container_fold takes none from encrypted bytes."""
+    texts = [marked(e) for e in ("Ea06", "Ea05", "Ea04", "Jb01")]
+    path = documents(tmp_path, *enumerate(texts), *((k + 4, t) for k, t in enumerate(texts)))
+    agree(queries.QUERIES["container_fold"](spark, path), own_tables(path), queries.ORACLES["container_fold"])
+    whole = payloads.script_payload("Ea06", texts[0], False)
+    assert [m.name for m in extract.binaries(extract.parse(files(spark, whole))).first().packed_markers] == ["UPX"]
+    assert extract.binaries(extract.parse(files(spark, whole), packed_in_stream=False)).first().packed_markers == []
+    before = payloads.container("Ea06", records.encode("Ea06", payloads.PLAIN, "s", b"x"), filler=b"..UPX..")
+    assert extract.binaries(extract.parse(files(spark, before), packed_in_stream=False)).first().packed_markers == [("UPX", 2)]
+
+
+def test_fold_of_arrays_equals_the_fold_of_rows(spark):
+    contents = [payloads.script_payload(e, "text", False) for e in ("Ea04", "Ea05", "Ea06", "Jb01")] + [payloads.pe_with_resource(payloads.script_payload("Ea06", "x", False)), b"MZ stubUPX! AutoIt EA06", b"nothing", None]
+    parsed = extract.parse(files(spark, *contents))
+    apart = parsed.select("binary_id").join(extract.container(extract.observations(parsed)), "binary_id", "left").orderBy("binary_id")
+    assert extract.binaries(parsed).select(apart.columns).orderBy("binary_id").collect() == apart.collect()
+
+
 def test_known_place(spark):
     content = b"??" + records.encode("Ea05", payloads.PLAIN, "s", b"legacy")
     streams = spark.createDataFrame([(1, bytearray(content), 2, "Ea05")], "binary_id long, content binary, offset long, encoding string")

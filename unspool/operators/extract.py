@@ -55,14 +55,15 @@ def _struct(df: DataFrame, ddl: str) -> StructType:
     return StructType.fromDDL(f"x {ddl}").fields[0].dataType
 
 
-def parse(binaries: DataFrame, limits: rec.Limits = rec.Limits(), blobs: tuple[str, ...] = BLOBS) -> DataFrame:
+def parse(binaries: DataFrame, limits: rec.Limits = rec.Limits(), blobs: tuple[str, ...] = BLOBS, packed_in_stream: bool = True) -> DataFrame:
     """binary_id, length and what was found in content; a file that isn't recognised has a failure and nothing else.
 
     blobs: which of a record's byte columns to carry; payload bytes need decrypted and decompressed data.
+    packed_in_stream: whether packed markers count within the stream, where encrypted bytes hold some by chance.
     """
 
     def kernel(content: bytes | None) -> dict:
-        found = scan.analyse(content or b"", limits)
+        found = scan.analyse(content or b"", limits, packed_in_stream)
         for seq, o in enumerate(found["observations"]):
             o["seq"] = seq
         for r in found["records"]:
@@ -133,9 +134,24 @@ def first_of(seen: DataFrame) -> DataFrame:
     return seen.groupBy("binary_id").agg(first("PayloadStreamStartFound", "offset").alias("first_stream_offset"), first("FirstFileRecordDecrypted", "encoding").alias("first_file_encoding"))
 
 
+def folded() -> list[Column]:
+    """container() of a row of parse() out of its own array, which is in order: no rows are dealt out or met again."""
+    of = lambda kind: F.filter("observations", lambda o: o["kind"] == kind)
+    last = lambda kind, value: F.get(F.transform(F.reverse(of(kind)), value), F.lit(0))
+    some = lambda value: F.when(F.size("observations") > 0, value)
+    struct = lambda *names: lambda o: F.struct(*[o[n].alias(n) for n in names])
+    return [
+        last("AutoItSignatureFound", lambda o: o["offset"]).alias("signature_offset"),
+        last("VersionMarkerFound", struct("encoding", "offset")).alias("version_marker"),
+        some(F.transform(of("PayloadStreamStartFound"), lambda o: o["offset"])).alias("payload_stream_offsets"),
+        last("PeScriptResourceFound", struct("type_id", "type_name", "name", "language_id", "rva", "offset", "size")).alias("pe_script_resource"),
+        some(F.transform(of("PackedMarkerFound"), struct("name", "offset"))).alias("packed_markers"),
+    ]
+
+
 def binaries(parsed: DataFrame) -> DataFrame:
     """One row a file, those not recognised included."""
-    return parsed.select("binary_id", "length", "failure", "input_kind", "encoding").join(container(observations(parsed)), "binary_id", "left")
+    return parsed.select("binary_id", "length", "failure", "input_kind", "encoding", *folded())
 
 
 def script_kind(subtype: Column) -> Column:

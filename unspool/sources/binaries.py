@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unspool.operators.extract import container, observations
+from unspool.operators.extract import folded
 from unspool.schema import FAILURES
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -56,7 +56,7 @@ def report(parsed: DataFrame, scripts: DataFrame, artifacts: DataFrame, strings:
         overview = overview.join(counts(name, df), "binary_id", "left")
     fields = [text("  input kind: ", F.col("input_kind")), text("  encoding: ", none(F.col("encoding"))), *[text(f"  {n}: ", F.coalesce(num(n), F.lit("0"))) for n in ("records", "scripts", "artifacts", "strings")], text("  record diagnostics: ", num("diagnostics"))]
     sections = [overview.select("binary_id", F.lit(1).alias("section"), F.posexplode(F.array(F.lit("== overview =="), *fields)).alias("seq", "line"))]
-    facts = ok.select("binary_id", "input_kind", "encoding").join(container(observations(ok)), "binary_id", "left")
+    facts = ok.select("binary_id", *folded())
     version, resource = F.col("version_marker"), F.col("pe_script_resource")
     fields = F.array(
         F.lit("== container =="),

@@ -186,3 +186,31 @@ def test_adaptive_stream_of_44_kilobytes_and_its_cuts():
     assert unpack.inflate(unpack.deflate_adaptive(text, b"JB00"))[0] == text
     for cut in (8, 9, 15, 16, 17, 1000, len(blob) - 2):
         assert unpack.inflate(blob[:cut]) == (None, "Truncated")
+
+
+def test_long_matches_windows_and_their_cuts():
+    """Lengths that take every stage, matches over the bounds of windows, and cuts within a token."""
+    import random
+
+    rng = random.Random(2)
+    data = b"a" * 5000 + rng.randbytes(20_000) + b"ab" * 900 + bytes(range(256)) * 40 + b"x" * 44 + b"y" * 299 + b"z" * 554
+    for magic in (b"EA05", b"EA06"):
+        blob = unpack.deflate_lz(data, magic)
+        assert unpack.inflate(blob) == (data, None) == unpack.inflate(unpack.deflate_lz(data, magic, matches=False))
+        assert {unpack.inflate(blob[:cut])[1] for cut in range(8, len(blob) - 1, 97)} == {"Truncated"}
+
+
+def test_trees_of_many_are_built_together(monkeypatch):
+    """As many rebuilds for forty blobs as for one, with the same bytes, also where trees get too deep."""
+    import random
+
+    rng, calls = random.Random(6), []
+    whole = unpack.rebuild
+    monkeypatch.setattr(unpack, "rebuild", lambda codes, writing: (calls.append(len(codes)), whole(codes, writing)))
+    datas = [bytes(rng.choices(range(256), [2.0 ** -min(k, 40) for k in range(256)], k=9000 + k)) for k in range(20)] + [b"word %d " % k * 400 for k in range(20)]
+    alone = [unpack.deflate_adaptive(d) for d in datas]
+    most = max(len(d) for d in datas)
+    calls.clear()
+    assert unpack.deflate_adaptive_many(datas) == alone
+    assert unpack.inflate_many([*alone, alone[0][:500], b"JB0"]) == [*((d, None) for d in datas), (None, "Truncated"), (None, "Truncated")]
+    assert max(calls) >= 20 and len(calls) < most

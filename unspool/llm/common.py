@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unspool.batches import small_batches
 from unspool.storage import delete, materialize, release, shared_dir, written
 
 __all__ = ["delete", "fit_sample", "held_out", "lower_ascii", "materialize", "release", "shared_dir", "shuffle_partitions", "small_batches", "table", "written"]
@@ -14,13 +15,6 @@ SPACE_CHARS = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE_CHARS}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Lower the session's Arrow batches to `most` bytes if they are larger: rows are whole texts, and a worker holds a batch and its kernel's arrays at once."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = (spark.conf.get(name) or "").rstrip("b")
-    if not now.isdigit() or int(now) > most:
-        spark.conf.set(name, f"{most}b")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)

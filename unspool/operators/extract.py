@@ -7,13 +7,16 @@ import re
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructType
 
+from unspool.batches import small_batches
 from unspool.kernels import container as scan
 from unspool.kernels import records as rec
 from unspool.kernels import tokens as tok
@@ -25,28 +28,31 @@ SCRIPT_KINDS = {">>>AUTOIT SCRIPT<<<": "Tokenized", ">AUTOIT UNICODE SCRIPT<": "
 SCRIPT_SUBTYPES = [*SCRIPT_KINDS]
 
 
-def map_column(df: DataFrame, column: str, out: str, kernel, keep: list[str]) -> DataFrame:
-    """df's keep columns and the fields of the struct type `out` that kernel gives for each value of column.
+#: Bytes that a row's Python objects take beside its value, and bytes of rows that a kernel gets at once.
+_ROW_BYTES, _PIECE_BYTES = 2048, 1 << 20
 
-    Large rows: batches are taken apart row by row, and results leave after every few megabytes.
+
+def map_column(df: DataFrame, column: str, out: str, kernel, keep: list[str], most: int = _PIECE_BYTES) -> DataFrame:
+    """df's keep columns and the fields of the struct type `out` that kernel gives for a list of values of the binary column.
+
+    Large rows: batches are small, and a kernel gets pieces of them of some `most` bytes, so a worker's memory
+    doesn't depend on the number of rows.
     """
+    small_batches(df.sparkSession, 4 << 20)
     schema = StructType.fromDDL(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _struct(df, out).fields))
     kept = StructType([df.schema[c] for c in keep])
-    arrow = to_arrow_schema(StructType([*kept.fields, *schema.fields]))
+    made = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            others = batch.select(keep).to_pylist()
-            rows, held = [], 0
-            for other, value in zip(others, batch.column(column), strict=True):
-                value = value.as_py()
-                rows.append(other | kernel(value))
-                held += len(value or b"") + 256
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + _ROW_BYTES)
+            cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), batch.num_rows]
+            for a, b in itertools.pairwise(cuts):
+                if a < b:
+                    piece = batch.slice(a, b - a)
+                    new = pa.RecordBatch.from_pylist(kernel(piece.column(column).to_pylist()), schema=made)
+                    old = piece.select(keep)
+                    yield pa.RecordBatch.from_arrays([*old.columns, *new.columns], schema=pa.schema([*old.schema, *made]))
 
     return df.select(*dict.fromkeys([*keep, column])).mapInArrow(run, StructType([*kept.fields, *schema.fields]))
 
@@ -55,26 +61,30 @@ def _struct(df: DataFrame, ddl: str) -> StructType:
     return StructType.fromDDL(f"x {ddl}").fields[0].dataType
 
 
-def parse(binaries: DataFrame, limits: rec.Limits = rec.Limits(), blobs: tuple[str, ...] = BLOBS, packed_in_stream: bool = True) -> DataFrame:
+def parse(binaries: DataFrame, limits: rec.Limits = rec.Limits(), blobs: tuple[str, ...] = BLOBS, packed_in_stream: bool = True, most: int = _PIECE_BYTES) -> DataFrame:
     """binary_id, length and what was found in content; a file that isn't recognised has a failure and nothing else.
 
     blobs: which of a record's byte columns to carry; payload bytes need decrypted and decompressed data.
     packed_in_stream: whether packed markers count within the stream, where encrypted bytes hold some by chance.
+    most: bytes of files read together; adaptive codes are read faster the more there are.
     """
 
-    def kernel(content: bytes | None) -> dict:
-        found = scan.analyse(content or b"", limits, packed_in_stream)
-        for seq, o in enumerate(found["observations"]):
-            o["seq"] = seq
-        for r in found["records"]:
-            r["creation_time"], r["last_write_time"] = Decimal(r["creation_time"]), Decimal(r["last_write_time"])
-            for b in BLOBS:
-                if b not in blobs:
-                    r[b] = None
-        return found
+    def kernel(contents: list[bytes | None]) -> list[dict]:
+        later: list[dict] = []
+        many = [scan.analyse(c or b"", limits, packed_in_stream, later) for c in contents]
+        rec.settle(later, limits)
+        for found in many:
+            for seq, o in enumerate(found["observations"]):
+                o["seq"] = seq
+            for r in found["records"]:
+                r["creation_time"], r["last_write_time"] = Decimal(r["creation_time"]), Decimal(r["last_write_time"])
+                for b in BLOBS:
+                    if b not in blobs:
+                        r[b] = None
+        return many
 
     sized = binaries.select("binary_id", F.octet_length("content").cast("long").alias("length"), "content")
-    return map_column(sized, "content", PARSED, kernel, ["binary_id", "length"])
+    return map_column(sized, "content", PARSED, kernel, ["binary_id", "length"], most)
 
 
 def parse_strict(binaries: DataFrame, limits: rec.Limits = rec.Limits()) -> DataFrame:
@@ -88,14 +98,14 @@ def parse_records(streams: DataFrame, limits: rec.Limits = rec.Limits()) -> Data
     """Records of streams (binary_id, content, offset, encoding) whose place is known."""
     packed = streams.select("binary_id", F.concat(F.encode(F.concat_ws(";", F.col("offset").cast("string"), "encoding", F.lit("")), "UTF-8"), F.col("content")).alias("content"))
 
-    def kernel(value: bytes) -> dict:
+    def one(value: bytes) -> dict:
         offset, encoding, content = value.split(b";", 2)
         found, stop = rec.parse(content, int(offset), encoding.decode(), limits)
         for r in found:
             r["creation_time"], r["last_write_time"] = Decimal(r["creation_time"]), Decimal(r["last_write_time"])
         return {"records": found, "diagnostic": stop, "observations": [], "encoding": encoding.decode()}
 
-    return map_column(packed, "content", PARSED, kernel, ["binary_id"])
+    return map_column(packed, "content", PARSED, lambda values: [one(v) for v in values], ["binary_id"])
 
 
 def observations(parsed: DataFrame) -> DataFrame:
@@ -107,8 +117,9 @@ def payload() -> Column:
     return F.coalesce("decompressed_data", "decrypted_data")
 
 
-def records(parsed: DataFrame) -> DataFrame:
-    return parsed.select("binary_id", F.explode("records").alias("r")).select("binary_id", "r.*").withColumn("payload_data", payload())
+def records(parsed: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a record; carry: more columns of the file's to keep."""
+    return parsed.select("binary_id", *carry, F.explode("records").alias("r")).select("binary_id", *carry, "r.*").withColumn("payload_data", payload())
 
 
 def record_diagnostics(parsed: DataFrame) -> DataFrame:
@@ -178,9 +189,9 @@ def utf16_lossy(data: pa.Array) -> pa.Array:
     return pa.array([None if v is None or len(v) % 2 else v.decode("utf-16-le", "replace") for v in data.to_pylist()], pa.string())
 
 
-def scripts(rows: DataFrame) -> DataFrame:
-    """The records that are scripts, decoded; a tokenised script's text comes from render()."""
-    found = rows.where(F.col("subtype").isin(SCRIPT_SUBTYPES)).select("binary_id", "record_index", "name", script_kind(F.col("subtype")).alias("kind"), F.col("payload_data").alias("bytes"), "creation_time", "last_write_time")
+def scripts(rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The records that are scripts, decoded; a tokenised script's text comes from render(). carry: more columns to keep."""
+    found = rows.where(F.col("subtype").isin(SCRIPT_SUBTYPES)).select("binary_id", *carry, "record_index", "name", script_kind(F.col("subtype")).alias("kind"), F.col("payload_data").alias("bytes"), "creation_time", "last_write_time")
     odd = (F.col("kind") == "UnicodeText") & (F.octet_length("bytes") % 2 == 1)
     wide = F.when(F.col("kind") == "UnicodeText", F.col("bytes"))
     return found.select(
@@ -212,7 +223,7 @@ def file_time(value: Column) -> Column:
 def decode_tokens(found: DataFrame, keep: tuple[str, ...] = ("binary_id", "record_index")) -> DataFrame:
     """keep, line_count, tokens, error of tokenised scripts (bytes); nulls where bytes is null."""
 
-    def kernel(data: bytes | None) -> dict:
+    def one(data: bytes | None) -> dict:
         if data is None:
             return {}
         lines, tokens, error = tok.parse(data)
@@ -220,7 +231,8 @@ def decode_tokens(found: DataFrame, keep: tuple[str, ...] = ("binary_id", "recor
             tokens = [{"kind": k, "text": t, "i": i, "u": None if u is None else Decimal(u), "f": f} for k, t, i, u, f in tokens]
         return {"line_count": lines, "tokens": tokens, "error": error}
 
-    return map_column(found, "bytes", TOKENS, kernel, [*keep])
+    # A token takes some thirty times its bytes as objects.
+    return map_column(found, "bytes", TOKENS, lambda values: [one(v) for v in values], [*keep], _PIECE_BYTES // 8)
 
 
 def _runs(rows: DataFrame, keys: list[str], data: Column, passes: list[tuple[int, bool]], least: int, most: int | None) -> DataFrame:

@@ -108,6 +108,29 @@ def test_rendering(spark):
     assert rendered(spark, [key("And") + op("("), s(0x35, "p") + n(0x20, 1e21) + n(0x10, 2**64 - 1)]) == "And(\r\n.p 1000000000000000000000 18446744073709551615\r\n"
 
 
+def test_sources_equal_those_of_rows(spark):
+    """Rendering script by script equals rendering by joins and windows, for streams of all kinds of tokens."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["", "If", "Then", "WEnd", "while", "msgbox", "CR", "scriptname", 'a"b', "(", "[", ",", "x", "Else", "İf", "Ⅷ"]
+
+    def token():
+        opcode = rng.choice([0x00, 0x01, 0x05, 0x10, 0x20, *range(0x30, 0x38), *range(0x40, 0x59), 0x90])
+        if opcode in tok.NUMBERS:
+            return tok.number_token(opcode, rng.choice((0, 3, 4, 9, 10, 248, 404, 405, 999)) if opcode != 0x20 else rng.choice((0.5, 1e21, -0.0)))
+        return tok.string_token(opcode, rng.choice(texts)) if opcode in tok.STRINGS else bytes([opcode])
+
+    streams = [tok.stream([b"".join(token() for _ in range(rng.randrange(7))) for _ in range(rng.randrange(12))]) for _ in range(150)]
+    rows = [records.encode("Ea06", payloads.TOKENIZED, "n", s) for s in streams]
+    found = extract.scripts(extract.records(extract.parse(files(spark, *(payloads.container("Ea06", r) for r in rows)))))
+    names = spark.createDataFrame([(3, "Three"), (248, "MsgBox"), (9, None)], "id int, name string")
+    for functions in (None, names):
+        want = {r.binary_id: r.source for r in render.render(render.tokens(extract.decode_tokens(found), functions)).collect()}
+        got = {r.binary_id: r.text for r in render.with_sources(found, functions).collect()}
+        assert len(got) == 150 and got == {k: want.get(k, "") for k in range(150)}
+
+
 def test_ordered_fold(spark):
     seen = [(1, 0, "AutoItSignatureFound", 5), (1, 1, "PayloadStreamStartFound", 9), (1, 2, "AutoItSignatureFound", 7), (1, 3, "PayloadStreamStartFound", 8)]
     row = spark.createDataFrame(seen, "binary_id long, seq int, kind string, offset long")
@@ -168,6 +191,17 @@ def test_fold_of_arrays_equals_the_fold_of_rows(spark):
     assert extract.binaries(parsed).select(apart.columns).orderBy("binary_id").collect() == apart.collect()
 
 
+def test_kernels_get_small_pieces(spark):
+    """What a kernel holds at once doesn't depend on the number of rows."""
+    frame = spark.range(4000).select("id", F.expr("case when id % 7 > 0 then cast(repeat('x', 4000) as binary) end").alias("b")).coalesce(1)
+
+    def kernel(values):
+        return [{"n": sum(len(v or b"") for v in values)}] * len(values)
+
+    made = extract.map_column(frame, "b", "struct<n:bigint>", kernel, ["id"]).agg(F.count("*"), F.countDistinct("id"), F.max("n")).first()
+    assert made[:2] == (4000, 4000) and 500_000 < made[2] <= 1 << 20
+
+
 def test_known_place(spark):
     content = b"??" + records.encode("Ea05", payloads.PLAIN, "s", b"legacy")
     streams = spark.createDataFrame([(1, bytearray(content), 2, "Ea05")], "binary_id long, content binary, offset long, encoding string")

@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 
 from unspool.functions.native import lower_ascii
 from unspool.kernels import tokens as tok
-from unspool.operators.extract import decode_tokens
-from unspool.storage import materialize
+from unspool.kernels.sources import BACK, CLOSERS, OPENERS, Renderer
+from unspool.operators.extract import map_column
 
-#: First words that end a block, begin one, or stand one level back on their own line.
-CLOSERS = ("WEnd", "Until", "Next", "EndSelect", "EndSwitch", "EndFunc", "EndIf")
-OPENERS = ("While", "Do", "For", "Select", "Switch", "Func")
-BACK = ("Case", "Else", "ElseIf", *CLOSERS)
 #: Rows of the largest of the name tables; all of them are small enough for every executor.
 MOST_NAMES = 10_000
 
@@ -135,17 +131,23 @@ def render(shown: DataFrame) -> DataFrame:
 def with_sources(found: DataFrame, functions: DataFrame | None = None) -> DataFrame:
     """scripts() with text, counts and errors of the tokenised ones filled in.
 
-    The scripts are decoded once, to a written table; their facts and their token rows are read from it.
+    Each script is decoded and rendered where it is, so that no token becomes a row; tokens() and render() are
+    the same as tables. functions: (id, name), each id and each spelling once; it is sent to every executor.
     """
-    keys = ["binary_id", "record_index"]
+    names = [*enumerate(tok.FUNCTIONS)] if functions is None else [(r[0], r[1]) for r in functions.select(F.col("id").cast("int"), "name").collect()]
+    renderer = Renderer(names)
+
+    def one(data: bytes | None) -> dict:
+        if data is None:
+            return {}
+        lines, tokens, error = tok.parse(data)
+        return {"line_count": lines, "error": error} if error else {"line_count": lines, "token_count": len(tokens), "source": renderer.render(tokens)}
+
     whole = found.withColumnRenamed("bytes", "__bytes").withColumn("bytes", F.when(F.col("kind") == "Tokenized", F.col("__bytes")))
-    decoded = materialize(decode_tokens(whole, tuple(c if c != "bytes" else "__bytes" for c in found.columns)), "decoded")
-    facts = decoded.withColumn("token_count", F.size("tokens").cast("long")).drop("tokens")
-    sources = render(tokens(decoded.where("kind = 'Tokenized'"), functions))
-    out = facts.join(sources, keys, "left")
+    out = map_column(whole, "bytes", "struct<line_count:bigint,token_count:bigint,source:string,error:string>", lambda values: [one(v) for v in values], [c if c != "bytes" else "__bytes" for c in found.columns])
     good = (F.col("kind") == "Tokenized") & F.col("error").isNull()
     return out.select(
-        *keys, "name", "kind", F.col("__bytes").alias("bytes"),
+        "binary_id", "record_index", "name", "kind", F.col("__bytes").alias("bytes"),
         F.when(good, F.coalesce("source", F.lit(""))).otherwise(F.col("text")).alias("text"),
         F.when(good, "TokenRender").otherwise(F.col("text_encoding")).alias("text_encoding"),
         F.when(F.col("error").isNotNull(), F.struct(F.lit("Token").alias("kind"), F.col("error").alias("reason"))).otherwise(F.col("decode_error")).alias("decode_error"),

@@ -202,6 +202,26 @@ def test_kernels_get_small_pieces(spark):
     assert made[:2] == (4000, 4000) and 500_000 < made[2] <= 1 << 20
 
 
+def test_decoded_tokens_take_little_memory(spark, monkeypatch):
+    """Tokens of one byte, as many as a piece holds, with broken scripts and nulls between them."""
+    import tracemalloc
+
+    grabbed, whole = [], extract.map_column
+    monkeypatch.setattr(extract, "map_column", lambda df, column, out, kernel, keep, most: (grabbed.append((kernel, most)), whole(df, column, out, kernel, keep, most))[1])
+    script = tok.stream([tok.operator_token("+") * 1000])
+    values = [script, None, script[:-1], tok.stream([tok.number_token(0x10, 2**64 - 1) + tok.number_token(0x20, 0.5) + tok.string_token(0x34, "w")]), tok.stream([])]
+    frame = spark.createDataFrame([(k, 0, v and bytearray(v)) for k, v in enumerate(values)], "binary_id long, record_index long, bytes binary")
+    rows = extract.decode_tokens(frame).orderBy("binary_id").collect()
+    assert [(r.line_count, r.tokens and len(r.tokens), r.error) for r in rows] == [(1, 1001, None), (None, None, None), (None, None, "Truncated"), (1, 4, None), (0, [], None)]
+    assert [(t.kind, t.text, t.i, t.u, t.f) for t in rows[3].tokens] == [("U64", None, None, 2**64 - 1, None), ("F64", "0.5", None, None, 0.5), ("BareString", "w", None, None, None), ("LineEnd", None, None, None, None)]
+    kernel, most = grabbed[0]
+    tracemalloc.start()
+    kernel([script] * (most // len(script)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 << 20
+
+
 def test_known_place(spark):
     content = b"??" + records.encode("Ea05", payloads.PLAIN, "s", b"legacy")
     streams = spark.createDataFrame([(1, bytearray(content), 2, "Ea05")], "binary_id long, content binary, offset long, encoding string")

@@ -33,7 +33,7 @@ _ROW_BYTES, _PIECE_BYTES = 2048, 1 << 20
 
 
 def map_column(df: DataFrame, column: str, out: str, kernel, keep: list[str], most: int = _PIECE_BYTES) -> DataFrame:
-    """df's keep columns and the fields of the struct type `out` that kernel gives for a list of values of the binary column.
+    """df's keep columns and the fields of the struct type `out` that kernel gives, as dicts or a batch, for a list of values of the binary column.
 
     Large rows: batches are small, and a kernel gets pieces of them of some `most` bytes, so a worker's memory
     doesn't depend on the number of rows.
@@ -50,7 +50,9 @@ def map_column(df: DataFrame, column: str, out: str, kernel, keep: list[str], mo
             for a, b in itertools.pairwise(cuts):
                 if a < b:
                     piece = batch.slice(a, b - a)
-                    new = pa.RecordBatch.from_pylist(kernel(piece.column(column).to_pylist()), schema=made)
+                    new = kernel(piece.column(column).to_pylist())
+                    if not isinstance(new, pa.RecordBatch):
+                        new = pa.RecordBatch.from_pylist(new, schema=made)
                     old = piece.select(keep)
                     yield pa.RecordBatch.from_arrays([*old.columns, *new.columns], schema=pa.schema([*old.schema, *made]))
 
@@ -223,16 +225,27 @@ def file_time(value: Column) -> Column:
 def decode_tokens(found: DataFrame, keep: tuple[str, ...] = ("binary_id", "record_index")) -> DataFrame:
     """keep, line_count, tokens, error of tokenised scripts (bytes); nulls where bytes is null."""
 
-    def one(data: bytes | None) -> dict:
-        if data is None:
-            return {}
-        lines, tokens, error = tok.parse(data)
-        if tokens is not None:
-            tokens = [{"kind": k, "text": t, "i": i, "u": None if u is None else Decimal(u), "f": f} for k, t, i, u, f in tokens]
-        return {"line_count": lines, "tokens": tokens, "error": error}
-
-    # A token takes some thirty times its bytes as objects.
-    return map_column(found, "bytes", TOKENS, lambda values: [one(v) for v in values], [*keep], _PIECE_BYTES // 8)
+    made = to_arrow_schema(StructType.fromDDL(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _struct(found, TOKENS).fields)))
+    rows = made.field("tokens").type
+    fields = [*rows.value_type]
+
+    def many(values: list[bytes | None]) -> pa.RecordBatch:
+        # Tokens of all scripts one behind the other, a list a field: no token is an object of its own for long.
+        lines, errors, ends, columns = [], [], [0], [[] for _ in fields]
+        for data in values:
+            count, tokens, error = (None, None, None) if data is None else tok.parse(data)
+            lines.append(count)
+            errors.append(error)
+            ends.append(ends[-1] + len(tokens or ()))
+            for column, part in zip(columns, zip(*tokens or (), strict=True), strict=False):
+                column += part
+        columns[3] = [None if u is None else Decimal(u) for u in columns[3]]
+        flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, rows, mask=pa.array([n is None for n in lines], pa.bool_()))
+        return pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), tokens, pa.array(errors, pa.string())], schema=made)
+
+    # A token takes some ten times its bytes as objects.
+    return map_column(found, "bytes", TOKENS, many, [*keep], _PIECE_BYTES // 8)
 
 
 def _runs(rows: DataFrame, keys: list[str], data: Column, passes: list[tuple[int, bool]], least: int, most: int | None) -> DataFrame:

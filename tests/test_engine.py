@@ -202,6 +202,21 @@ def test_kernels_get_small_pieces(spark):
     assert made[:2] == (4000, 4000) and 500_000 < made[2] <= 1 << 20
 
 
+@pytest.mark.parametrize("name", ["pe_resource", "artifacts_antijoin", "token_counts"])
+def test_queries_over_files_hold_small_pieces(spark, data_dir, monkeypatch, name):
+    """Every kernel of the query gets at most a piece, of batches of a few pieces."""
+    held, whole = [], extract.map_column
+
+    def noted(df, column, out, kernel, keep, most=extract._PIECE_BYTES):
+        held.append(most)
+        return whole(df, column, out, kernel, keep, most)
+
+    monkeypatch.setattr(extract, "map_column", noted)
+    queries.QUERIES[name](spark, data_dir)
+    assert len(held) > 1 and max(held) <= 1 << 20
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+
+
 def test_decoded_tokens_take_little_memory(spark, monkeypatch):
     """Tokens of one byte, as many as a piece holds, with broken scripts and nulls between them."""
     import tracemalloc

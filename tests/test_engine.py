@@ -217,6 +217,37 @@ def test_queries_over_files_hold_small_pieces(spark, data_dir, monkeypatch, name
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
 
 
+@pytest.mark.parametrize("name", ["pe_resource", "artifacts_antijoin"])
+def test_workers_hold_a_piece_of_a_batch(spark, tmp_path, monkeypatch, name):
+    """What the query's Python makes of a batch of 4,000 rows, both steps, takes the memory of a piece beside the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    path, runs = documents(tmp_path, (1, "x")), []
+    frame = type(spark.range(1))
+    whole = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, *a, **b: (runs.append(run), whole(self, run, *a, **b))[1])
+    queries.QUERIES[name](spark, path)
+    build, parse = runs
+
+    def through(run, batch):
+        """What leaves, without the peak that keeping it takes."""
+        tracemalloc.start()
+        made = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert made == batch.num_rows and peak < 8 << 20
+        return pa.Table.from_batches(list(run(iter([batch])))).combine_chunks().to_batches()[0]
+
+    ids = pa.array(range(4000), pa.int64())
+    built = through(build, pa.record_batch([ids, pa.array([b"%d\n" % k + b"text " * 200 for k in range(4000)], pa.binary())], ["binary_id", "source"]))
+    content = built.column("content")
+    parsed = through(parse, pa.record_batch([ids, pc.binary_length(content).cast(pa.int64()), content], ["binary_id", "length", "content"]))
+    assert parsed.column("binary_id").equals(ids) and {len(r) for r in parsed.column("records").to_pylist()} == {2}
+
+
 def test_decoded_tokens_take_little_memory(spark, monkeypatch):
     """Tokens of one byte, as many as a piece holds, with broken scripts and nulls between them."""
     import tracemalloc

@@ -238,7 +238,7 @@ def test_workers_hold_a_piece_of_a_batch(spark, tmp_path, monkeypatch, name):
         made = sum(b.num_rows for b in run(iter([batch])))
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
-        assert made == batch.num_rows and peak < 8 << 20
+        assert made == batch.num_rows and peak < 5 << 20
         return pa.Table.from_batches(list(run(iter([batch])))).combine_chunks().to_batches()[0]
 
     ids = pa.array(range(4000), pa.int64())
